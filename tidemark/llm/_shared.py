@@ -51,3 +51,62 @@ def block_count(total_bytes: int, block_bytes: int, least: int = 32) -> int:
 def block_of(key: Column, blocks: int) -> Column:
     """A block number that depends on the key alone, so that a recomputed task deals the same rows again."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) -> DataFrame:
+    """Texts in blocks of about block_bytes: rows (block, ids, present, lengths, texts, extra).
+
+    ids and lengths (in UTF-8 bytes) are little-endian int64, texts is their zstd-compressed concatenation in the
+    order of the rows; present marks ids that are not null. carry: a string column kept as JSON in extra.
+    Write the result before use: a block is what one attempt of a task has packed.
+    """
+    import json
+
+    import numpy as np
+    import pandas as pd
+    import zstandard
+    from pyspark import TaskContext
+
+    def run(batches):
+        part, made, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        ids, texts, extra, size = [], [], [], 0
+
+        def out():
+            row = {"block": f"{part}-{made}", "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "present": np.array([i is not None for i in ids]).tobytes()}
+            row |= {"lengths": np.array([len(t) for t in texts], "<i8").tobytes(), "texts": packer.compress(b"".join(texts)), "extra": json.dumps(extra) if carry else None}
+            return pd.DataFrame([row])
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids.append(None if pd.isna(r[0]) else int(r[0]))
+                texts.append((r[1] or "").encode())
+                size += len(texts[-1])
+                if carry:
+                    extra.append(r[2])
+                if size >= block_bytes or len(ids) >= 200_000:
+                    yield out()
+                    made, ids, texts, extra, size = made + 1, [], [], [], 0
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInPandas(run, "block string, ids binary, present binary, lengths binary, texts binary, extra string")
+
+
+def unpacked(row) -> tuple:
+    """ids, present, starts (one more than documents) and the bytes of a block of packed_texts."""
+    import numpy as np
+    import zstandard
+
+    lengths = np.frombuffer(row.lengths, "<i8")
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    data = zstandard.ZstdDecompressor().decompress(row.texts, max_output_size=int(starts[-1])) if starts[-1] else b""
+    return np.frombuffer(row.ids, "<i8"), np.frombuffer(row.present, "?"), starts, data
+
+
+def by_bucket(hashes, buckets: int):
+    """The order that puts 64-bit hashes of one bucket together (and sorts them), and where each bucket starts in it."""
+    import numpy as np
+
+    order = np.argsort(hashes, kind="stable")
+    bounds = (np.arange(1, buckets, dtype="u8") * np.uint64(2**64 // buckets)).astype("u8")
+    return order, np.concatenate([[0], np.searchsorted(hashes[order], bounds), [len(hashes)]])

@@ -8,10 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
 
+
+def tokenizer() -> str:
+    """The vocabulary file; its place is the public_tokenizers package, the driver reads it and ships its bytes."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 #: Target weights of the mix: by level and value, 1 for all others.
 MIX_WEIGHTS = {("lang", "en"): 4, ("lang", "de"): 2, ("domain", "d1"): 3}
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, formatted, linear
+
+    own = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return digests(formatted(linear(rows)))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -19,6 +60,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_copies import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -32,7 +85,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op9_sharding, op10_mixing)}
+    every = (op1_lm_scoring, op2_toxicity, op3_suffix_dedup, op4_exact_topk, op5_chat_formatting, op6_quality_rules, op7_jaccard_join, op8_sentencepiece, op9_sharding, op10_mixing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
