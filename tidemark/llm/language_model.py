@@ -130,7 +130,9 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         sums = {"n": int(total.sum()), "v": int(seen.sum()), "rare_n": np.bincount(rare[word], total[word], RARE).astype("i8"), "rare_v": np.bincount(rare[word], minlength=RARE)}
         sums |= {"top": words[top].astype("i8"), "top_n": total[top], "top_rare": rare[top].astype("i4")}
         out = [{"kind": "a", "block": b, "bucket": key[0], "answer": a.astype("<i8").tobytes()} for b, a in zip(rows["block"], answers, strict=True)]
-        return pd.DataFrame([*out, {"kind": "s", "bucket": key[0], **sums}]).astype({"n": "Int64", "v": "Int64"})
+        names = ["kind", "block", "bucket", "answer", *sums]
+        rows = [[x.get(k) for k in names] for x in (*out, {"kind": "s", "bucket": key[0], **sums})]
+        return pd.DataFrame(rows, columns=names, dtype=object).astype({"n": "Int64", "v": "Int64"})
 
     asked = blocks.select("block", "hashes", "rare", "counts").mapInPandas(ask, "block string, bucket int, h binary, r binary, c binary")
     schema = "kind string, block string, bucket int, answer binary, n long, v long, rare_n array<long>, rare_v array<long>, top array<long>, top_n array<long>, top_rare array<int>"
