@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters look at a text's words: a fixed lexicon of insults, two patterns, and lexicons induced from the training
-labels (whole words, and stems of 5 to 7 characters seen once, twice, three times, or twice and in one of a hundred
+labels (whole words, and stems of 4 to 7 characters seen once, twice, three times, or twice and in one of a hundred
 words, that stand out in toxic documents). A voter says toxic (1) or nothing (0). A generative label model holds, for each class, each voter's firing rate (its accuracy)
 and a common covariance of the votes (their correlations), estimated by expectation maximization on the votes
 alone once the induced lexicons are chosen; correlated voters thereby share their weight. Its posteriors are the
@@ -30,7 +30,7 @@ from ._shared import written
 
 # Common English insults.
 INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns dumb fool fools imbecile garbage filth vermin".split())
-STEMS = (5, 6, 7)
+STEMS = (4, 5, 6, 7)
 TOKEN = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 
@@ -119,7 +119,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, deca
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20_000, most_voters: int = 96, most_features: int = 2048, least_docs: int = 3) -> tuple[dict[str, float], float] | None:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20_000, most_voters: int = 256, most_features: int = 2048, least_docs: int = 3) -> tuple[dict[str, float], float] | None:
     """Weights by feature and the intercept, from labels outside the held-out fold."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
@@ -143,10 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "votes": [votes(t, f, induced) for t, f in zip(batch["text"], found, strict=True)], "columns": [sorted(at[x] for x in f if x in at) for f in found]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "votes": [np.array(votes(t, f, induced), "u1").tobytes() for t, f in zip(batch["text"], found, strict=True)], "columns": [sorted(at[x] for x in f if x in at) for f in found]})
 
-    sample = seen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).mapInPandas(narrow, "toxic int, votes array<double>, columns array<int>").toPandas()
-    v = np.stack(sample["votes"].to_numpy())
+    sample = seen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
+    v = np.frombuffer(b"".join(sample["votes"]), "u1").reshape(len(sample), -1).astype(float)
     gold = (sample["toxic"].to_numpy() == 1).astype(float)
     # accuracies start from the labels; from there on the votes alone decide
     posterior = label_model(v, np.where(v.any(1), 0.25 + 0.5 * gold, 0.02))
