@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20
             found = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"], "votes": [np.array(votes(t, f, induced), "u1").tobytes() for t, f in zip(batch["text"], found, strict=True)], "columns": [sorted(at[x] for x in f if x in at) for f in found]})
 
-    sample = seen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
+    sample = seen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).repartition(24).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
     v = np.frombuffer(b"".join(sample["votes"]), "u1").reshape(len(sample), -1).astype(float)
     gold = (sample["toxic"].to_numpy() == 1).astype(float)
     # accuracies start from the labels; from there on the votes alone decide
