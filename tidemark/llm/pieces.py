@@ -3,8 +3,12 @@
 A piece sequence is what BPE makes of a text exactly if each two neighbours are what BPE makes of their joined
 text. So every prefix of a text has one last piece: of the pieces that end there, the one that is compatible with
 the last piece of the prefix before it. The table is filled from left to right with the matches of an Aho-Corasick
-automaton over the vocabulary, and the ids are recovered backwards from the last entry. Pairs are tested by merging
-their two texts once; the answers are kept.
+automaton over the vocabulary, and the ids are recovered backwards from the last entry. The answers of pair tests are
+kept.
+
+A pair is compatible if no merge across its boundary comes before the merges that make the two pieces. Undoing the
+merges from the last one back shows all pairs of symbols that ever meet at the boundary; each is looked up. That holds
+for pieces whose merges come in the order of their scores; pairs with another piece are merged to see what happens.
 
 No piece holds a space mark after another character, so a text falls into units (space marks, then others) that are
 encoded one by one, and a unit's ids are kept for its next occurrence. Characters outside the vocabulary are no part
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,11 +56,16 @@ class PieceEncoder:
         for i, p in enumerate(spec.pieces):
             if p.type == NORMAL:
                 self.ids[p.piece], self.score[p.piece] = i, p.score
-                self.matches.add_word(p.piece, p.piece)
+                self.matches.add_word(p.piece, (len(p.piece), i, p.piece))
             elif p.type == BYTE:
                 self.byte[int(p.piece[3:5], 16)] = i
         self.matches.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.joined = {a + b for piece in self.score for a, b in zip(piece, piece[1:])}
+        self.made: dict[str, tuple[float, str, str]] = {}  # when a piece is merged, and from what
+        self.ordered: set[str] = set()  # pieces whose merges come in the order of their scores
+        for piece in sorted(self.score, key=len):
+            self.derive(piece)
+        self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -71,75 +81,102 @@ class PieceEncoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            known = self.pairs[(left, right)] = self.merged(left + right) == [left, right]
-        return known
+    def derive(self, piece: str) -> None:
+        """Finds a piece's last merge; shorter pieces are known."""
+        if len(piece) == 1:
+            self.made[piece] = (-1.0, "", "")
+            self.ordered.add(piece)
+            return
+        parts, score = list(piece), self.score
+        steps = []
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at < 0:
+                return  # BPE does not make this piece
+            steps.append(-best)
+            last = (-best, parts[at], parts[at + 1])
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.made[piece] = last
+        if all(a <= b for a, b in zip(steps, steps[1:])) and last[1] in self.ordered and last[2] in self.ordered:
+            self.ordered.add(piece)
 
-    def last_pieces(self, text: str) -> list[str] | None:
-        """The last piece of each prefix; a character outside the vocabulary stands for itself."""
-        n = len(text)
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.matches.iter(text):
-            ending[end].append(piece)
-        last: list[str] = [""] * (n + 1)
-        pairs = self.pairs
-        for i in range(n):
-            for piece in ending[i]:
-                before = i + 1 - len(piece)
-                left = last[before]
-                if before == 0 or (len(left) == 1 and left not in self.ids):
-                    fits = len(piece) == 1 or self.merged_alone(piece)
+    def compatible(self, left: str, right: str) -> bool:
+        if left in self.ordered and right in self.ordered:
+            return not self.crossed(left, right)
+        return self.merged(left + right) == [left, right]
+
+    def crossed(self, left: str, right: str) -> bool:
+        """Whether a merge across the boundary comes first; of equal ones the left one does."""
+        made, score, never = self.made, self.score, float("inf")
+        end_left = end_right = never
+        while True:
+            s = score.get(left + right)
+            if s is not None and -s < end_left and -s <= end_right:
+                return True
+            (at_left, _, inner_left), (at_right, inner_right, _) = made[left], made[right]
+            if at_left < 0 and at_right < 0:
+                return False
+            if at_left > at_right:
+                left, end_left = inner_left, at_left
+            else:
+                right, end_right = inner_right, at_right
+
+    def last_pieces(self, text: str) -> list[tuple[int, int, str] | None]:
+        """The last piece (length, id, text) of each prefix; None where the last character is not in the vocabulary.
+
+        The automaton reports matches by their end, so that all shorter prefixes are done when one is looked at.
+        """
+        last: list[tuple[int, int, str] | None] = [None] * (len(text) + 1)
+        pairs, made = self.pairs, self.made
+        for end, found in self.matches.iter(text):
+            if last[end + 1] is None:
+                left = last[end + 1 - found[0]]
+                if left is None:  # the start, or a character that merges with nothing
+                    fits = found[2] in made
                 else:
-                    fits = pairs.get((left, piece))
+                    key = left[1] << 32 | found[1]
+                    fits = pairs.get(key)
                     if fits is None:
-                        fits = self.compatible(left, piece)
+                        if len(pairs) >= KEPT:
+                            pairs.clear()
+                        fits = pairs[key] = self.compatible(left[2], found[2])
                 if fits:
-                    last[i + 1] = piece
-                    break
-            else:
-                if ending[i]:
-                    return None
-                last[i + 1] = text[i]
+                    last[end + 1] = found
         return last
 
-    def merged_alone(self, piece: str) -> bool:
-        """Whether BPE makes this piece of its own text."""
-        known = self.pairs.get(("", piece))
-        if known is None:
-            known = self.pairs[("", piece)] = self.merged(piece) == [piece]
-        return known
-
-    def pieces(self, unit: str) -> list[str]:
-        if MARK + MARK in unit:
-            return self.merged(unit)
-        last = self.last_pieces(unit)
-        if last is None:  # no compatible piece: not a vocabulary that BPE made
-            return self.merged(unit)
-        out, i = [], len(unit)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
-
     def unit_ids(self, unit: str) -> bytes:
-        out = []
-        for piece in self.pieces(unit):
-            i = self.ids.get(piece)
-            out += [i] if i is not None else [self.byte[b] for b in piece.encode()]
-        return np.array(out, "<u4").tobytes()
+        out: list[int] = []
+        i = len(unit)
+        last = [] if MARK + MARK in unit else self.last_pieces(unit)
+        if not last or (None in last[1:] and any(x is None and c in self.ids for x, c in zip(last[1:], unit))):
+            # equal scores, or no compatible piece (not a vocabulary that BPE made): merged directly
+            for piece in reversed(self.merged(unit)):
+                number = self.ids.get(piece)
+                out += [number] if number is not None else [self.byte[b] for b in reversed(piece.encode())]
+            i = 0
+        while i:  # backwards
+            found = last[i]
+            if found is None:
+                i -= 1
+                out += [self.byte[b] for b in reversed(unit[i].encode())]
+            else:
+                i -= found[0]
+                out.append(found[1])
+        return array("I", reversed(out)).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        """Ids of a unit. Parts between line ends, which no piece holds, are kept apart."""
+        """Ids of a unit. It falls into parts where two characters meet that meet in no piece; parts are kept as well."""
         known = self.units.get(unit)
         if known is None:
             if len(self.units) >= KEPT:
                 self.units.clear()
-            if "\n" in unit and "\n" not in self.ids and unit != "\n":
-                known = b"".join(self.unit(x) for x in re.findall(r"\n|[^\n]+", unit))
+            cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.joined]
+            if cuts:
+                known = b"".join(self.unit(unit[i:j]) for i, j in zip([0, *cuts], [*cuts, len(unit)]))
             else:
                 known = self.unit_ids(unit)
             self.units[unit] = known
