@@ -117,9 +117,19 @@ def _runs(own: np.ndarray, starts: np.ndarray, doc: int, offset: int) -> dict[st
         return {"doc": of + doc, "first": first + offset, "last": last + offset, "anchor_at": at + offset, "anchor": mixed(grams[at]), "span": span, "check": check}
 
 
+def sorted_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """The lexicographic order: one sort by the first key, and by all keys only where it is equal."""
+    order = np.argsort(first)
+    same = first[order[1:]] == first[order[:-1]]
+    tied = np.nonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[0] if len(order) else order
+    some = order[tied]
+    order[tied] = some[np.lexsort(tuple(k[some] for k in (*rest[::-1], first)))]
+    return order
+
+
 def distinct_runs(r: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (anchor, span, check) of a block in order: a run of each with the smallest document; each run's number; the smallest documents."""
-    order = np.lexsort((r["first"], ids[r["doc"]], r["check"], r["span"], r["anchor"]))
+    order = sorted_by(r["anchor"], r["span"], r["check"], ids[r["doc"]], r["first"])
     a, s, c = r["anchor"][order], r["span"][order], r["check"][order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])]) if len(order) else np.zeros(0, bool)
     number = np.empty(len(order), "i8")
@@ -143,9 +153,10 @@ def block_runs(row) -> tuple:
 def common(poly: Polynomial, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Length of the common prefix, up to LENGTH, of the strings at x and y: binary search over prefix hashes."""
     low, high = np.zeros(len(x), "i8"), np.full(len(x), LENGTH)
+    sums, x0, y0, x1, y1 = poly.sums, poly.sums[x], poly.sums[y], poly.down[x], poly.down[y]
     while (low < high).any():
         mid = (low + high + 1) // 2
-        same = poly.of(x, mid) == poly.of(y, mid)
+        same = (sums[x + mid] - x0) * x1 == (sums[y + mid] - y0) * y1
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
     return low
 
@@ -187,6 +198,13 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndar
 
 def smallest_holder(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each string (ordered by group) the smallest document with an equal string in its group."""
+    _, number, count = np.unique(group, return_inverse=True, return_counts=True)
+    some = count[number] > 1
+    if not some.all():  # a string alone in its group has no equal
+        out = doc.copy()
+        if some.any():
+            out[some] = smallest_holder(data, at[some], group[some], doc[some])
+        return out
     if not len(at):
         return doc
     order, poly = suffix_order(data, at, group), Polynomial(data, BASES[0])
@@ -232,7 +250,7 @@ def first_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         sizes = [len(x) // 8 for x in rows["doc"]]
         a, s, c = (np.concatenate([np.frombuffer(x, "<u8") for x in rows[k]]) for k in ("anchor", "span", "check"))
         d = np.concatenate([np.frombuffer(x, "<i8") for x in rows["doc"]])
-        order = np.lexsort((d, c, s, a))
+        order = sorted_by(a, s, c, d)
         a, s, c, d = a[order], s[order], c[order], d[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
         begin = np.nonzero(new)[0]
