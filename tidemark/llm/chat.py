@@ -63,25 +63,32 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages(conv, node, parent, score) -> conv, branch (from 1), path_score, node, depth (0 at the root).
 
     node is unique within conv; parent is null at a root; a parent that does not exist ends the path.
+    Messages that reply to each other in a circle are an error.
     """
     nodes = messages.select("conv", "node", F.coalesce("score", F.lit(0)).cast("long").alias("score"), "parent")
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     nodes = nodes.join(known, ["conv", "parent"], "left").withColumn("up", F.when(F.col("_known"), F.col("parent")))
-    hops = [written(nodes.select("conv", "node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))]
-    while hops[-1].where("up IS NOT NULL").limit(1).count():
+    first = written(nodes.select("conv", "node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    # hops[k]: the ancestor at distance 2^k, of messages that have one; done: messages whose way to the root is summed up
+    hops, done = [first.where("up IS NOT NULL")], first.where("up IS NULL")
+    most = first.count()
+    while hops[-1].limit(1).count():
+        if 2 ** len(hops) > 2 * most:
+            raise ValueError("messages reply to each other in a circle")
         now = hops[-1]
-        above = now.select("conv", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
-        step = now.join(above, ["conv", "up"], "left")
-        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-        hops.append(written(step.select("conv", "node", F.col("_up").alias("up"), add("score", "_score"), add("depth", "_depth"))))
-    sums = hops[-1].select("conv", "node", F.col("score").alias("path_score"), "depth")
-    leaves = sums.join(hops[0].select("conv", F.col("up").alias("node")).where("node IS NOT NULL"), ["conv", "node"], "left_anti")
+        above = now.unionByName(done).select("conv", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
+        step = now.join(above, ["conv", "up"])
+        add = lambda a, b: (F.col(a) + F.col(b)).alias(a)
+        new = written(step.select("conv", "node", F.col("_up").alias("up"), add("score", "_score"), add("depth", "_depth")))
+        hops.append(new.where("up IS NOT NULL"))
+        done = done.unionByName(new.where("up IS NULL"))
+    sums = done.select("conv", "node", F.col("score").alias("path_score"), "depth")
+    leaves = sums.join(hops[0].select("conv", F.col("up").alias("node")), ["conv", "node"], "left_anti")
     best = Window.partitionBy("conv").orderBy(F.col("path_score").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best).cast("int")).where(F.col("branch") <= branches)
     paths = written(chosen.select("conv", "branch", "path_score", "node"))
     for hop in reversed(hops[:-1]):
-        up = hop.where("up IS NOT NULL").select("conv", "node", "up")
-        above = paths.join(up, ["conv", "node"]).select("conv", "branch", "path_score", F.col("up").alias("node"))
+        above = paths.join(hop.select("conv", "node", "up"), ["conv", "node"]).select("conv", "branch", "path_score", F.col("up").alias("node"))
         paths = written(paths.unionByName(above))
     return paths.join(sums.select("conv", "node", "depth"), ["conv", "node"])
 
