@@ -8,7 +8,7 @@ alone once the induced lexicons are chosen; correlated voters thereby share thei
 soft labels on which a logistic regression over the presence of words and stems is trained; that linear classifier scores.
 
 The label model and the classifier are fitted on a bounded sample of labelled rows: `most_rows` of the training
-labels, those with the smallest md5 of the id. Word statistics that choose the lexicons cover all training labels.
+labels, those with the smallest md5 of the id (rows that repeat the last id come along). Word statistics that choose the lexicons cover all training labels.
 
 Edge cases: null and empty texts get the intercept's score; labels that are null are left out, and repeated labels
 of a document count once (the largest); without any training label of both classes every score is 0; repeated
@@ -122,7 +122,9 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, deca
 def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20_000, most_voters: int = 256, most_features: int = 2048, least_docs: int = 3) -> tuple[dict[str, float], float] | None:
     """Weights by feature and the intercept, from labels outside the held-out fold."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    # the fold's texts leave before the join; labels may be many, so the join is a sort-merge join at every size
+    texts = docs.where(~held_out(F.col("doc_id"), fold)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(known.hint("merge"), "doc_id")
 
     seen = written(rows)
 
@@ -145,7 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20
             found = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"], "votes": [np.array(votes(t, f, induced), "u1").tobytes() for t, f in zip(batch["text"], found, strict=True)], "columns": [sorted(at[x] for x in f if x in at) for f in found]})
 
-    sample = seen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).repartition(24).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
+    place = F.md5(F.col("doc_id").cast("string"))
+    first = seen.select(place.alias("place")).orderBy("place").limit(most_rows).agg(F.max("place")).first()[0]
+    sample = seen.where(place <= first).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
     v = np.frombuffer(b"".join(sample["votes"]), "u1").reshape(len(sample), -1).astype(float)
     gold = (sample["toxic"].to_numpy() == 1).astype(float)
     # accuracies start from the labels; from there on the votes alone decide
