@@ -18,13 +18,15 @@ from tidemark.llm._shared import table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can't express the passages' removal or the encoding; tests compare the stages with brute force.
 ORACLE_SQL = None
+#: Word distances are held against this share of the distance of a document without common words.
+WORD_SHARE = 0.9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and those that lack their language's common words."""
     from tidemark.llm.quality import judge
 
-    return judge(docs.select(*COLUMNS), COLUMNS).where("kept").select(*COLUMNS)
+    return judge(docs.select(*COLUMNS), COLUMNS, word_share=WORD_SHARE).where("kept").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

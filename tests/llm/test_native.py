@@ -35,6 +35,19 @@ def test_quality_rejects_divergent_and_keeps_usual(spark):
     assert not got[99] and all(got[i] for i in range(50))
 
 
+def test_pipeline_rejects_text_without_common_words(spark):
+    import corpus_pipeline
+
+    listed = "the of and to in a is that it for".split()
+    usual = [(i, " ".join(listed[(i + j // 5) % 10] if j % 5 == 0 else f"w{i}x{j}" for j in range(60)), "en", "s", 1) for i in range(50)]
+    plain = lambda n: " ".join(f"q{j}z" for j in range(n))
+    more = [(90, plain(50), "en", "s", 1), (91, plain(49), "en", "s", 1), (92, plain(50), "xx", "s", 1)]
+    more += [(93 + i, plain(50) + f" u{i}", "fr", "s", 1) for i in range(3)]  # nothing to be expected: no French text has any
+    docs = spark.createDataFrame(usual + more, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {r[0] for r in usual + more} - {90}
+
+
 def test_quality_empty(no_docs):
     assert judge(no_docs, ["doc_id"]).count() == 0
 

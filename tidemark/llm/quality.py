@@ -5,6 +5,10 @@ compared with the language's reference, the pooled histograms of all of that lan
 the base rules. The comparison is the Jensen-Shannon distance (root of the divergence in bits, 0 to 1). Short
 documents give unreliable histograms: a distance counts only from `least_words` words on.
 
+How far a document can get by lacking common words depends on their share in the reference: without any of them it is
+at 0.32 to 0.33 where they make up a fifth. `most_word` alone, the fixed limit of the SQL, is beyond that. `word_share`
+adds a limit relative to this reach, where LEAST_EXPECTED common words or more are to be expected in the document.
+
 Edge cases: null text has no words and fails the base rules; an unknown or null language has a reference of its
 own (null is one language) and no common words, so that its word distance is 0; repeated rows are judged alike;
 an empty table gives no rows; other columns of the input are carried by `judge` and ignored by the digest.
@@ -29,6 +33,8 @@ SYMBOLS = r"#*$%&|<>"
 CLASSES = {"symbol": f"[^{SYMBOLS}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+"}
 N_CLASSES = len(CLASSES) + 3
 WINDOW = 8
+#: Common words to be expected in a document (words times the reference's share) before their lack says something.
+LEAST_EXPECTED = 5
 
 
 def window_hashes(words: Column) -> Column:
@@ -118,8 +124,19 @@ def distance(p: Column, q: Column) -> Column:
     return F.when(usable, F.sqrt(F.greatest(zero, total(part)))).otherwise(zero)
 
 
-def judge(docs: DataFrame, keep: list[str], least_words: int = 50, most_char: float = 0.25, most_word: float = 0.5) -> DataFrame:
-    """keep..., the counts, base_failed, char_distance, word_distance and kept."""
+def lacking(n_words: Column, reference: Column) -> Column:
+    """The distance of a document without common words; null where it is short for the reference's share of them."""
+    total = F.aggregate(reference, F.lit(0.0), lambda a, b: a + b)
+    share = (total - F.element_at(reference, -1)) / total
+    none = F.transform(reference, lambda x, i: F.when(i == F.size(reference) - 1, 1.0).otherwise(0.0))
+    return F.when((F.size(reference) > 0) & (n_words * share >= LEAST_EXPECTED), distance(none, reference))
+
+
+def judge(docs: DataFrame, keep: list[str], least_words: int = 50, most_char: float = 0.25, most_word: float = 0.5, word_share: float | None = None) -> DataFrame:
+    """keep..., the counts, base_failed, char_distance, word_distance and kept.
+
+    word_share: word distances above this share of that of a document without common words are rejected as well.
+    """
     measured = written(features(docs, keep))
     width, words = N_CLASSES, max(map(len, COMMON.values())) + 1
     sums = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))).cast("double") for i in range(n)])
@@ -133,7 +150,7 @@ def judge(docs: DataFrame, keep: list[str], least_words: int = 50, most_char: fl
     # One row for each language; Spark decides by its measured size whether it is broadcast.
     doubles = lambda name: F.transform(name, lambda x: x.cast("double"))
     joined = measured.join(reference, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
-    return joined.select(
+    judged = joined.select(
         *keep,
         "n_words",
         "word_chars",
@@ -143,4 +160,9 @@ def judge(docs: DataFrame, keep: list[str], least_words: int = 50, most_char: fl
         "base_failed",
         distance(doubles("_classes"), F.col("_ref_classes")).alias("char_distance"),
         distance(doubles("_counts"), F.col("_ref_counts")).alias("word_distance"),
+        *([] if word_share is None else [lacking(F.col("n_words"), F.col("_ref_counts")).alias("_reach")]),
     ).withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < least_words) | ((F.col("char_distance") <= most_char) & (F.col("word_distance") <= most_word))))
+    if word_share is None:
+        return judged
+    far = (F.col("n_words") >= least_words) & (F.col("word_distance") > F.col("_reach") * word_share)
+    return judged.withColumn("kept", F.col("kept") & ~F.coalesce(far, F.lit(False))).drop("_reach")
