@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.functions import codec
 from tidemark.operators import commands, faults, linearize, measure, mvcc, ordered, replog, report, storage, workload
 from tidemark.plans.store import LogStore
@@ -190,6 +191,56 @@ def test_linearizability(spark):
     assert linearize.search([("set", str(i), 0, 100, "", False) for i in range(16)] + [("get", "", 101, 102, "x", True)], 0.0) == "unknown"
 
 
+def brute_verdict(ops):
+    """ok if some order of all operations, in which none comes after one that it returned before, is legal for a register."""
+
+    def possible(left, register):
+        if not left:
+            return True
+        for i, (kind, value, call, _, out, found) in enumerate(left):
+            if any(other[3] < call for other in left):
+                continue
+            if kind == "get" and (out if found else None) != register:
+                continue
+            if possible(left[:i] + left[i + 1 :], {"set": value, "delete": None}.get(kind, register)):
+                return True
+        return False
+
+    return "ok" if possible(ops, None) else "illegal"
+
+
+def test_linearizability_against_brute_force(spark):
+    rng, kept = random.Random(3), {}
+    for k in range(150):
+        ops, now = [], 0
+        for _ in range(rng.randint(1, 7)):
+            now += rng.randint(1, 5)
+            kind, found = rng.choice(["set", "get", "get", "delete"]), rng.random() < 0.7
+            ops.append((kind, rng.choice("xy"), now, now + rng.randint(0, 4 if k % 2 else 0), rng.choice("xy") if found else "", found))
+        kept[f"k{k}"] = ops
+    sent = [(1, t, key, v, c, r, o, f, "") for key, ops in kept.items() for t, v, c, r, o, f in ops]
+    got = {r.key: (r.verdict, r.n) for r in linearize.check(spark.createDataFrame(sent, HISTORY)).collect()}
+    assert got == {key: (brute_verdict(ops), len(ops)) for key, ops in kept.items()}
+    assert len(set(got.values())) > 8
+
+
+def test_registered_linearizability(spark):
+    d = "/root/testdata/sf0.001"
+    kept = {}
+    for r in catalogue.history(spark, d).where("err = ''").orderBy("idx").collect():
+        kept.setdefault(r.key, []).append(r)
+
+    def replay(ops):
+        register = None
+        for r in ops:
+            if r.type == "get" and (r.out_value if r.out_found else None) != register:
+                return "illegal"
+            register = {"set": r.value, "delete": None}.get(r.type, register)
+        return "ok"
+
+    assert {r.key: r.verdict for r in catalogue.queries()["lin_check"](spark, d).collect()} == {key: replay(ops) for key, ops in kept.items()}
+
+
 def test_faults(spark):
     m = spark.createDataFrame([(i, "a", "b", i * 10, 0.5) for i in range(6)], "id long, from_node string, to_node string, ts long, draw double")
     rules = [("a", "b", 0, 10, "block", 0.0), ("b", "", 10, 20, "pause", 0.0), ("a", "b", 20, 30, "drop", 2.0), ("a", "b", 30, 40, "delay", 5.0), ("a", "b", 40, 50, "drop", 0.4)]

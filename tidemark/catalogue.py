@@ -453,9 +453,8 @@ def lin_sequential_check(spark, d):
 
 @query()
 def lin_check(spark, d):
-    """Verdict of a search for each key over the first operations of each flush unit (their history is what is judged)."""
-    h = history(spark, d).withColumn("key", F.concat_ws("@", "key", F.expr("idx div 512").cast("string")))
-    return linearize.check(h)
+    """Verdict for each key's whole history."""
+    return linearize.check(history(spark, d))
 
 
 @query(f"WITH {RANKED}, s AS (SELECT op, count(*) FILTER (err = '') / 10.0::DOUBLE AS q, count(*) FILTER (err <> '') AS x FROM o GROUP BY op), u AS (SELECT op, {RANK} FROM l) SELECT '2' || op AS line_key, printf('| %s | mixed | leader | 32 | 256 | %.2f | %d | %.3f | %.3f | node1 | %s |', op, q, x, p95_ns / 1000000.0::DOUBLE, p99_ns / 1000000.0::DOUBLE, op || '/result.json') AS line FROM s JOIN u USING (op) UNION ALL VALUES ('0', '{report.HEAD}'), ('1', '{report.RULE}')")
