@@ -138,6 +138,23 @@ def test_components_against_brute_force(spark, seed, stars):
     assert got == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = {d: s for d, s in sets_of(rows).items() if s}
+    linked_ = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    return {d: sum(d != e and linked_(d, e) for e in sets) if d in sets else 0 for d, _ in rows}
+
+
+@pytest.mark.parametrize("seed,tile", [(1, 300), (2, 5000)])
+def test_links_against_brute_force(spark, seed, tile):
+    rows = copies(seed)
+    same = " ".join(f"s{i}" for i in range(60))
+    rows += [(2000 + i, same + f" t{i}" if i % 3 else same) for i in range(60)]  # one dense group of near and exact copies
+    docs = frame(spark, rows + rows[:5] + [(None, same)])
+    got = linked(docs, block_bytes=20_000, count=True, link_tile=tile).collect()
+    assert len(got) == len(rows) + 6
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows) | {None: None}
+
+
 def test_components_odd_rows(spark, odd_docs, no_docs):
     assert linked(no_docs).count() == 0
     got = linked(odd_docs).collect()

@@ -14,6 +14,9 @@ Exact, in these steps; sets are sorted arrays of 64-bit shingle hashes.
 4. What is left is exact for the rest: in each group, the documents outside the group's largest component are
    tiled, sorted by size, against all documents of the group, in tiles of bounded size; pairs of different
    components whose sizes and bitmaps allow 0.8 are verified. No pair is cut off.
+5. On demand, links are counted: they lie within components, so each component's distinct texts, sorted by size, meet
+   in tiles of bounded bytes; all pairs whose sizes and bitmaps allow 0.8 are verified there, and each text counts as
+   many times as there are documents with it. Only sums leave a tile.
 
 Edge cases: a document with fewer words than a shingle is one shingle, the whole sequence; null, empty and blank
 texts have no shingles and no links; repeated rows are equal texts; rows without doc_id get a null component; an
@@ -37,6 +40,8 @@ SHINGLE, SHARE = 5, (80, 100)
 BITS = 1024
 #: Documents of a tile's two sides.
 TILE = (512, 4096)
+#: Hashes of one side of a tile in which links are counted.
+LINK_TILE = 500_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 
@@ -241,8 +246,68 @@ def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
     return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def counted_links(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, own: bool) -> pd.DataFrame:
+    """id and links that the rows at a have with those at b (own: among each other), in documents."""
+    both = a if own else np.concatenate([a, b])
+    ids, n, w = (rows[k].to_numpy()[both] for k in ("id", "n", "w"))
+    words = np.frombuffer(b"".join(rows["bits"].iloc[both]), "u8").reshape(len(both), -1)
+    known, flat = np.unique(np.frombuffer(b"".join(rows["hashes"].iloc[both]), "<u8"), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(n)])
+    first = 0 if own else len(a)
+    mark, total = np.zeros(len(known), "u1"), np.zeros(len(both), "i8")
+    for i in range(0, len(a), TILE[0]):
+        p = np.arange(i, min(i + TILE[0], len(a)))
+        for j in range(i if own else first, len(both), TILE[1]):
+            q = np.arange(j, min(j + TILE[1], len(both)))
+            need = needed(n[p][:, None], n[q][None, :])
+            fine = (np.minimum(n[p][:, None], n[q][None, :]) >= need) & (p[:, None] < q[None, :])
+            fine &= n[p][:, None] + n[q][None, :] - differing(words[p], words[q]) >= 2 * need
+            for r in np.nonzero(fine.any(1))[0]:
+                near, mine = np.nonzero(fine[r])[0], flat[start[p[r]] : start[p[r] + 1]]
+                mark[mine] = 1
+                if 2 * len(near) > len(q):
+                    shared = np.add.reduceat(mark[flat[start[j] : start[q[-1] + 1]]], start[q] - start[j], dtype="i8")[near]
+                else:
+                    shared = np.array([np.count_nonzero(mark[flat[start[k] : start[k + 1]]]) for k in q[near]])
+                mark[mine] = 0
+                with_ = q[near[shared >= need[r, near]]]
+                total[p[r]] += w[with_].sum()
+                total[with_] += w[p[r]]
+    return pd.DataFrame({"id": ids, "links": total})
+
+
+def link_counts(comp: DataFrame, sets: DataFrame, weights: DataFrame, buckets: int, most: int = LINK_TILE) -> DataFrame:
+    """id and links, the documents with other texts that each text of a component is linked with. weights: id, w."""
+    light = comp.join(sets.select("id", "n"), "id")
+    below, mass = Window.partitionBy("comp").orderBy("n"), F.col("k") * F.col("n")
+    # tiles follow each other by size; a size with more than one tile's hashes is dealt over several
+    by_size = light.groupBy("comp", "n").agg(F.count(F.lit(1)).alias("k"))
+    by_size = by_size.select("comp", "n", F.floor((F.sum(mass).over(below) - mass) / most).cast("int").alias("tile"), F.ceil(mass / most).cast("int").alias("parts"))
+    spans = by_size.select("comp", "n", F.explode(F.sequence("tile", F.col("tile") + F.col("parts") - 1)).alias("x"))
+    tiles = spans.groupBy("comp", "x").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    others = tiles.select("comp", F.col("x").alias("y"), F.col("lo").alias("y_lo"))
+    pairs = tiles.join(others, "comp").where(f"x <= y AND hi * {SHARE[1]} >= y_lo * {SHARE[0]}").select("comp", "x", "y")
+    sides = pairs.select("*", F.col("x").alias("tile"), F.lit(True).alias("left")).unionByName(pairs.where("x < y").select("*", F.col("y").alias("tile"), F.lit(False).alias("left")))
+    members = comp.join(sets.select("id", "n", "hashes", "bits"), "id").join(weights, "id").join(by_size, ["comp", "n"])
+    placed = members.withColumn("tile", F.col("tile") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(sides, ["comp", "tile"])
+    dealt = placed.select("id", "n", "w", "hashes", "bits", "comp", "x", "y", "left", F.pmod(F.xxhash64("comp", "x", "y"), F.lit(buckets)).cast("int").alias("bucket"))
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        out, left = [pd.DataFrame({"id": [], "links": []}, dtype="int64")], rows["left"].to_numpy()
+        for (_, x, y), places in rows.groupby(["comp", "x", "y"], sort=False).indices.items():
+            a, b = places[left[places]], places[~left[places]]
+            if len(a) and (x == y or len(b)):
+                out.append(counted_links(rows, a, b, x == y))
+        return pd.concat(out)
+
+    return dealt.groupBy("bucket").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    count: also n_links, the number of other documents (doc_ids) that a document is linked with; null without a doc_id.
+    """
     keyed, reps = distinct_texts(docs)
     blocks = written(packed_texts(docs.where("doc_id IS NOT NULL"), block_bytes))
     n = blocks.count()
@@ -270,7 +335,16 @@ def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2) -> Dat
         links = links.unionByName(found)
         comp = components(links)
     named = reps.join(sets.select(F.col("id").alias("rep"), "n"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("key", F.coalesce("n", F.lit(0)).cast("long").alias("_n"), F.coalesce("comp", "rep").alias("_comp"))
+    extra = []
+    if count:
+        alike = written(keyed.where("doc_id IS NOT NULL").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_w")))
+        weights = reps.join(alike, "key").groupBy(F.col("rep").alias("id")).agg(F.max("_w").alias("w"))
+        others = written(link_counts(comp, open_, weights, max(256, buckets), link_tile))
+        named = named.join(alike, "key").join(others.withColumnRenamed("id", "rep"), "rep", "left")
+        extra = [(F.coalesce("links", F.lit(0)) + F.col("_w") - 1).alias("_links")]
+    named = named.select("key", F.coalesce("n", F.lit(0)).cast("long").alias("_n"), F.coalesce("comp", "rep").alias("_comp"), *extra)
     # a text without words links with nothing, not even its copies
     out = keyed.join(named, "key", "left").withColumn("n_shingles", F.coalesce("_n", F.lit(0)).cast("long"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    if count:
+        extra = [F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_links")).otherwise(0)).cast("long").alias("n_links")]
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id")).alias("component_id"), *extra)

@@ -63,7 +63,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_copies import linked
 
-    return linked(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"), count=True)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
