@@ -57,6 +57,24 @@ def test_top_products(spark):
     assert top_products(vectors.where("vec_id = 50")).count() == 0
 
 
+def test_top_products_with_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm.queries import oracle_sql
+
+    rows = [(0, [1.0, 0.0])] + [(7, [10.0, 0.0])] * 6 + [(8, [9.0, 1.0]), (9, [8.0, 0.0])]  # 7 takes all places of 0
+    rows += [(50, [0.0, 1.0])] * 2 + [(10, [0.0, 20.0])] * 2 + [(11, [0.0, 19.0]), (12, [0.0, 18.0])]  # two rows of a query
+    rows += [(100, [-1.0, -1.0])] + [(13, [-3.0, -3.0])] * 3 + [(14, [-2.0, -2.0]), (15, [-1.0, -2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    vectors.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.execute(oracle_sql()["op4_exact_topk"]).fetchall())
+    for tile_rows in (2, 2048):
+        got = top_products(vectors, tile_rows=tile_rows, first=1)
+        assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
 def test_chat_round_trip():
     nasty = ["", "\\", "<|im_end|>", "\\|<|", "a<", "<|im_start|>assistant\nok<|im_end|>\n", "\n\n", "x\\n\\\\<\\|", "|>"]
     for text in nasty:

@@ -11,7 +11,9 @@ work that holds one query block and one tile at a time: a stated query set again
 
 Edge cases: a null vector, or one with a null or non-finite component, takes no part; shorter vectors count as
 padded with zeros; rows that share a vec_id are never each other's candidates (they are the query's own); equal
-scores go to the smaller vec_id; an empty table gives no rows; further columns are ignored.
+scores go to the smaller vec_id; an empty table gives no rows; further columns are ignored. Rows are not collapsed, as in
+the SQL: a query's k places go to pairs of one of its rows and a candidate row, so that a repeated row takes a place
+each time, and a query with several rows still has one list of k.
 """
 
 from __future__ import annotations
@@ -141,5 +143,4 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, tile_rows: int
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, result)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    # repeated rows of a query give equal lists: one is kept
-    return found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
