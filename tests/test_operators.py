@@ -166,6 +166,17 @@ def test_segments_filter_cache(spark):
     assert [cache.hit(k) for k in "abacdefab"] == [False, False, True, False, False, False, False, True, False]
 
 
+def test_registered_cache_carries_over(spark):
+    d = "/root/testdata/sf0.001"
+    caches, want = {}, {}
+    for r in catalogue.operations(spark, d).where("op = 'get'").orderBy("idx").collect():
+        hit = caches.setdefault(r.node, storage.TwoQueues(16)).hit(r.key)
+        hits, misses = want.get(f"{r.node}/{r.file_num}", (0, 0))
+        want[f"{r.node}/{r.file_num}"] = (hits + hit, misses + (not hit))
+    got = catalogue.queries()["lsm_cache_hits"](spark, d).collect()
+    assert len(got) == len(want) > len(caches) and {r.unit: (r.hits, r.misses) for r in got} == want
+
+
 def test_workload(spark):
     got = rows(workload.requests(spark, 3, 2, 3, prefix="k:"))
     assert got == [(0, "set", "k:0", "abc"), (1, "set", "k:1", "abc"), (2, "set", "k:0", "abc")]

@@ -223,7 +223,10 @@ def lsm_sorted_entries(spark, d):
     SELECT z.file_num, z.seq, z.rn, CASE WHEN w.used + z.size > 8192 THEN z.size ELSE w.used + z.size END, w.segment + CASE WHEN w.used + z.size > 8192 THEN 1 ELSE 0 END FROM w JOIN z ON z.file_num = w.file_num AND z.rn = w.rn + 1)
   SELECT file_num, seq, segment FROM w""")
 def lsm_log_segments(spark, d):
-    """Log segments of at most 8 KiB within each flush unit, from sums that start anew."""
+    """Log segments of at most 8 KiB within each flush unit, from sums that start anew.
+
+    A simulation by unit, as the SQL has it: a log goes on in its segment over a flush, and its numbers run through.
+    """
     size = storage.data_bytes() + 38
     return storage.segments(entries_of(spark, d), "file_num", "seq", size, 8192)
 
@@ -245,9 +248,9 @@ def lsm_filter_probes(spark, d):
 
 @query()
 def lsm_cache_hits(spark, d):
-    """A two-queue cache over each node's reads in order, restarted with each flush unit."""
+    """A two-queue cache over all of each node's reads in order, counted by flush unit."""
     reads = operations(spark, d).where("op = 'get'").withColumn("unit", F.concat_ws("/", "node", F.col("file_num").cast("string")))
-    return storage.cache_hits(reads, "unit", "idx", "key", 16)
+    return storage.cache_hits(reads, "node", "unit", "idx", "key", 16)
 
 
 # ---- replicated log

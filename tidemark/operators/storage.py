@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -179,12 +180,28 @@ class TwoQueues:
         return False
 
 
-def cache_hits(reads: DataFrame, group: str, order: str, key: str, capacity: int) -> DataFrame:
-    """group, hits, misses of a two-queue cache for each group's reads in order (groups are bounded)."""
+def cache_hits(reads: DataFrame, owner: str, group: str, order: str, key: str, capacity: int) -> DataFrame:
+    """group, hits, misses of a two-queue cache for each owner, which sees all of its reads in order.
 
-    def simulate(rows: pd.DataFrame) -> pd.DataFrame:
-        cache = TwoQueues(capacity)
-        hits = sum(map(cache.hit, rows.sort_values(order)[key]))
-        return pd.DataFrame({group: [rows[group].iloc[0]], "hits": [hits], "misses": [len(rows) - hits]})
+    group: runs of an owner's reads that are counted together. An owner's reads are sorted by Spark and stream through
+    one task, which holds the cache and one batch.
+    """
 
-    return reads.select(group, order, key).groupBy(group).applyInPandas(simulate, f"{group} {dict(reads.dtypes)[group]}, hits long, misses long")
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, cache, run, hits, n = None, None, None, 0, 0
+        for batch in batches:
+            out = []
+            for whose, g, k in zip(batch[owner], batch[group], batch[key], strict=True):
+                if cache is None or whose != own or g != run:
+                    if cache is not None:
+                        out.append((run, hits, n - hits))
+                    if cache is None or whose != own:
+                        cache = TwoQueues(capacity)
+                    own, run, hits, n = whose, g, 0, 0
+                hits, n = hits + cache.hit(k), n + 1
+            yield pd.DataFrame(out, columns=[group, "hits", "misses"])
+        if cache is not None:
+            yield pd.DataFrame([(run, hits, n - hits)], columns=[group, "hits", "misses"])
+
+    cut = reads.select(owner, group, order, key).repartition(owner).sortWithinPartitions(owner, order)
+    return cut.mapInPandas(simulate, f"{group} {dict(reads.dtypes)[group]}, hits long, misses long")
