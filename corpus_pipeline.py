@@ -49,7 +49,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the token budgets of the mix's leaves, one epoch at most."""
+    """Documents within the token budgets of the mix's leaves, one epoch at most.
+
+    Documents stay whole: the last one of a leaf's prefix passes with its whole text, so that a leaf's budget is rounded
+    up by less than one document.
+    """
     from tidemark.llm.mixing import mix
     from tidemark.llm.queries import MIX_WEIGHTS
 
