@@ -88,6 +88,22 @@ def test_collisions_are_verified(monkeypatch):
     assert sub.smallest_holder(data, np.array([0, 50, 100]), np.zeros(3, int), np.array([5, 1, 3])).tolist() == [3, 1, 3]
 
 
+def test_equal_span_hashes_of_other_bytes():
+    """Spans with equal hashes are told apart by their bytes, within a block and between blocks."""
+    rng = np.random.default_rng(2)
+    head, tails = b"0123456789abcdefghij" * 2, [rng.integers(97, 123, 30).astype("u1").tobytes() for _ in range(3)]
+    data = np.frombuffer(b"".join(head + t for t in (*tails, tails[0])), "u1")
+    at = np.arange(4) * 70
+    r = {"doc": np.array([0, 1, 2, 3]), "first": at, "last": at + 20, "anchor_at": at, "anchor": np.zeros(4, "u8"), "span": np.zeros(4, "u8")}
+    some, number, least = sub.distinct_runs(r, data, np.array([9, 8, 7, 6]))
+    assert len(some) == 3 and number[0] == number[3] and len(set(number)) == 3 and least[number[0]] == 6
+    doc, zero = np.array([9, 8, 7, 6]), np.zeros(4, "u8")
+    got = sub.held_strings(zero, zero, doc, np.full(4, 5), np.full(4, 70), np.array([1, 1, 1, 3]), data).reshape(4, 21)
+    strings = [[data[a + i : a + i + 50].tobytes() for i in range(21)] for a in at]
+    want = [[int(any(strings[k][i] == strings[j][i] and doc[k] < doc[j] for k in range(4))) for i in range(21)] for j in range(4)]
+    assert got.tolist() == want
+
+
 # ---- near copies
 
 

@@ -29,11 +29,25 @@ def test_pieces_equal_the_library(spark, odd_docs, no_docs):
     rows = {r.doc_id: r for r in encoded(odd_docs, MODEL, keep_ids=True).collect()}
     for r in odd_docs.collect():
         want = [1, *library.encode(r.text or ""), 2]
-        assert rows[r.doc_id].ids == want and rows[r.doc_id].decoded == library.decode(want)
+        assert rows[r.doc_id].ids == want and rows[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(want).encode()).hexdigest()
         assert rows[r.doc_id].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
     assert encoded(no_docs, MODEL).count() == 0
 
 
+def test_pieces_of_long_runs():
+    """Runs of one character have merges of equal rank; the table and the direct merging both take the leftmost first."""
+    with open(MODEL, "rb") as file:
+        own = PieceEncoder(file.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["a" + " " * n + "b" for n in (*range(1, 70), 500, 4000, 100_000)]
+    texts += ["a" * 100_000, " " * 99_999, "ab" * 50_000, "\n" * 30_000, "=-" * 20_000, "é " * 20_000, "x" + "  y" * 5_000, "😀" * 3_000]
+    for text in texts:
+        want = library.encode(text)
+        assert np.frombuffer(own.encode(text), "<u4")[1:-1].tolist() == want, (len(text), text[:5])
+        pieces = own.merged("▁" + text.replace(" ", "▁"))
+        assert [i for p in pieces for i in ([own.ids[p]] if p in own.ids else [own.byte[b] for b in p.encode()])] == want
+
+
 def brute_top(rows, k=5, every=50):
     out = []
     good = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

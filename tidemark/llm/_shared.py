@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that driver and executors share. In local mode, as in tests, one of our own if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         named = "file://" + folder
@@ -34,8 +40,51 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_discard_rest, spark)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more, and lets Spark drop the shuffle files of written ones.
+
+    Spark drops a shuffle's files once the driver's JVM has collected its plan; that is asked for here.
+    """
+    for table in tables:
+        _delete(spark, table.scratch_path)
+        _written.remove(table.scratch_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def scratch_mark() -> int:
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Deletes all tables written after scratch_mark() gave mark, but for one."""
+    for path in _written[mark:]:
+        if keep is None or path != keep.scratch_path:
+            _delete(spark, path)
+            _written.remove(path)
+
+
+def _discard_rest(spark: SparkSession) -> None:
+    """At the end of the application: results that read scratch tables can't be evaluated any more."""
+    try:
+        discard_since(spark, 0)
+    except Exception:  # noqa: BLE001  the session has ended before; the folder is its owner's to clear
+        pass
 
 
 def words(text: Column) -> Column:
@@ -48,13 +97,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def block_count(total_bytes: int, block_bytes: int, least: int = 32) -> int:
-    return max(least, -(-total_bytes // block_bytes))
-
-
-def block_of(key: Column, blocks: int) -> Column:
-    """A block number that depends on the key alone, so that a recomputed task deals the same rows again."""
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def bucket_count(blocks: int) -> int:
+    """Hash buckets for the items of so many blocks. A bucket never gets more than 16 blocks' worth of items."""
+    return max(16, min(blocks, 4096), blocks // 16)
 
 
 def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) -> DataFrame:
@@ -67,33 +112,37 @@ def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) ->
     import json
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     import zstandard
     from pyspark import TaskContext
 
+    names = ["block", "ids", "present", "lengths", "texts", "extra"]
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
+
     def run(batches):
         part, made, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         ids, texts, extra, size = [], [], [], 0
 
         def out():
-            row = {"block": f"{part}-{made}", "ids": np.array([0 if i is None else i for i in ids], "<i8").tobytes(), "present": np.array([i is not None for i in ids]).tobytes()}
-            row |= {"lengths": np.array([len(t) for t in texts], "<i8").tobytes(), "texts": packer.compress(b"".join(texts)), "extra": json.dumps(extra) if carry else None}
-            return pd.DataFrame([row])
+            row = [f"{part}-{made}", np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids]).tobytes()]
+            row += [np.array([len(t) for t in texts], "<i8").tobytes(), packer.compress(b"".join(texts)), json.dumps(extra) if carry else None]
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                ids.append(None if pd.isna(r[0]) else int(r[0]))
-                texts.append((r[1] or "").encode())
+            for i in range(batch.num_rows):
+                ids.append(batch.column(0)[i].as_py())
+                texts.append((batch.column(1)[i].as_py() or "").encode())
                 size += len(texts[-1])
                 if carry:
-                    extra.append(r[2])
+                    extra.append(batch.column(2)[i].as_py())
                 if size >= block_bytes or len(ids) >= 200_000:
                     yield out()
                     made, ids, texts, extra, size = made + 1, [], [], [], 0
         if ids:
             yield out()
 
-    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInPandas(run, "block string, ids binary, present binary, lengths binary, texts binary, extra string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([carry] if carry else []))
+    return rows.mapInArrow(run, "block string, ids binary, present binary, lengths binary, texts binary, extra string")
 
 
 def unpacked(row) -> tuple:

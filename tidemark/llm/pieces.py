@@ -12,28 +12,34 @@ for pieces whose merges come in the order of their scores; pairs with another pi
 
 No piece holds a space mark after another character, so a text falls into units (space marks, then others) that are
 encoded one by one, and a unit's ids are kept for its next occurrence. Characters outside the vocabulary are no part
-of any merge; they become their UTF-8 bytes. Runs of space marks have merges of equal rank, for which the order of
-places decides; units with such runs are merged directly.
+of any merge; they become their UTF-8 bytes. Runs of one character, space marks above all, have merges of equal rank,
+of which the leftmost comes first; that order is the same within a pair as within the text, so the table holds for
+them too. Only a unit for which no last piece fits (not a vocabulary that BPE made) is merged directly, with a heap.
 
-Edge cases: null and empty texts have the begin and end ids only; repeated rows are encoded alike; an empty table
-gives no rows; texts of any length are encoded whole.
+Edge cases: null and empty texts have the begin and end ids only; a null doc_id stays null; repeated rows are encoded
+alike; an empty table gives no rows; texts of any length are encoded whole, each by itself, and results leave a worker
+in batches of bounded bytes; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Entries kept for units and for pairs in a worker; a full store is emptied.
-KEPT = 300_000
+#: Entries kept for units and for pairs in a worker; a full store is emptied. Longer units are not kept.
+KEPT, LONGEST_KEPT = 300_000, 64
+#: Bytes of ids after which a worker hands on its results.
+BATCH_BYTES = 2_000_000
 
 
 class PieceEncoder:
@@ -69,17 +75,31 @@ class PieceEncoder:
         self.units: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
-        """BPE by its definition: join the neighbours that make the best-scored piece, leftmost first."""
-        parts, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """BPE by its definition: join the neighbours that make the best-scored piece, leftmost first (n log n)."""
+        parts: list[str | None] = list(text)
+        before, after, score = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1)), self.score
+        open_: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            s = score.get(parts[i] + parts[j])
+            if s is not None:
+                heapq.heappush(open_, (-s, i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while open_:
+            _, i, left, right = heapq.heappop(open_)
+            j = after[i]
+            if parts[i] != left or j == len(parts) or parts[j] != right:
+                continue  # one of the two has been joined since
+            parts[i], parts[j], after[i] = left + right, None, after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in parts if x is not None]
 
     def derive(self, piece: str) -> None:
         """Finds a piece's last merge; shorter pieces are known."""
@@ -151,9 +171,9 @@ class PieceEncoder:
     def unit_ids(self, unit: str) -> bytes:
         out: list[int] = []
         i = len(unit)
-        last = [] if MARK + MARK in unit else self.last_pieces(unit)
-        if not last or (None in last[1:] and any(x is None and c in self.ids for x, c in zip(last[1:], unit))):
-            # equal scores, or no compatible piece (not a vocabulary that BPE made): merged directly
+        last = self.last_pieces(unit)
+        if None in last[1:] and any(x is None and c in self.ids for x, c in zip(last[1:], unit)):
+            # no compatible piece (not a vocabulary that BPE made): merged directly
             for piece in reversed(self.merged(unit)):
                 number = self.ids.get(piece)
                 out += [number] if number is not None else [self.byte[b] for b in reversed(piece.encode())]
@@ -172,14 +192,15 @@ class PieceEncoder:
         """Ids of a unit. It falls into parts where two characters meet that meet in no piece; parts are kept as well."""
         known = self.units.get(unit)
         if known is None:
-            if len(self.units) >= KEPT:
-                self.units.clear()
             cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.joined]
             if cuts:
                 known = b"".join(self.unit(unit[i:j]) for i, j in zip([0, *cuts], [*cuts, len(unit)]))
             else:
                 known = self.unit_ids(unit)
-            self.units[unit] = known
+            if len(unit) <= LONGEST_KEPT:
+                if len(self.units) >= KEPT:
+                    self.units.clear()
+                self.units[unit] = known
         return known
 
     def encode(self, text: str) -> bytes:
@@ -213,20 +234,34 @@ def encoder(model: bytes) -> PieceEncoder:
 
 
 def encoded(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids (array<int>) and decoded (string)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids (array<int>)."""
     with open(model_path, "rb") as file:
         model = file.read()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
+
+        def out(doc_ids: pa.Array, coded: list[bytes], digests: list[str]) -> pa.RecordBatch:
+            sizes = np.array([len(x) // 4 for x in coded], "i8")
+            columns = [doc_ids, pa.array(sizes), pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array(digests, pa.string())]
+            if keep_ids:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
+                columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(coded), "<i4")))
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = own.encode(text or "")
-                decoded = own.decode(ids)
-                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, np.frombuffer(ids, "<u4").astype("int32"), decoded) if keep_ids else row)
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+            doc_ids, texts = batch.column(0), batch.column(1)
+            begin, coded, digests, size = 0, [], [], 0
+            for i in range(batch.num_rows):
+                coded.append(own.encode(texts[i].as_py() or ""))
+                digests.append(hashlib.sha256(own.decode(coded[-1]).encode()).hexdigest())
+                size += len(coded[-1])
+                if size >= BATCH_BYTES:
+                    yield out(doc_ids.slice(begin, i + 1 - begin), coded, digests)
+                    begin, coded, digests, size = i + 1, [], [], 0
+            if coded:
+                yield out(doc_ids.slice(begin, len(coded)), coded, digests)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

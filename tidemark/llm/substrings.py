@@ -5,18 +5,18 @@ anchor. Equal strings have equal anchors at equal places, so strings need compar
 anchor. The starts with one anchor form a run, and the run's bytes (at most 80) are its span.
 
 1. Each block of documents reports its distinct (anchor, span hash) pairs with the smallest document of each, in
-   arrays dealt to buckets by the anchor's hash. A bucket answers 1 where a smaller document has the same span
-   (all strings of the run are repeats), 2 where this is the first document of its span but the anchor has other
-   spans too, and 0 otherwise.
-2. Blocks send the bytes of the spans answered 2, once each. There the strings of a group are suffixes of their
-   spans, sorted by a mergesort. A comparison takes logarithmic time: prefix polynomial hashes and binary search
-   find the common extension, and the next byte decides. Neighbours with 50 bytes in common are equal; their bytes
-   are compared once more, and a group in which hashes had collided is sorted by its bytes. The answer says which
-   strings of a span a smaller document holds.
+   arrays dealt to buckets by the anchor's hash. A bucket answers 1 where a smaller document seems to have the same
+   span, 2 where this is the first document of its span but the anchor has other spans too, 3 where it is the first
+   and only others' copies of this very span exist, and 0 for spans that are alone.
+2. Blocks send the bytes of all spans but those answered 0, once each. Spans answered 1 are compared with the bytes of
+   the first holder's span. The strings of the spans answered 2 are suffixes of their spans, sorted within the groups
+   of an anchor by a mergesort. A comparison takes logarithmic time: prefix polynomial hashes and binary search find
+   the common extension, and the next byte decides. Neighbours with 50 bytes in common are equal; their bytes are
+   compared once more, and a group in which hashes had collided is sorted by its bytes. So do all spans of an anchor
+   of which one span's hash had collided. The answer says which strings of a span a smaller document holds.
 3. Blocks mark the bytes to remove.
 
-Answers to 1 rest on the anchor's 64-bit hash, the span's 64-bit polynomial hash and its length, with another
-64-bit hash of other parameters to verify (in all at least 128 bits that must agree).
+Every removal thus rests on bytes that were compared: hashes only say what to compare.
 
 Edge cases: null and empty texts have no bytes and get a row; a null doc_id is compared with nothing; rows of the
 same doc_id are one document as far as "smaller" goes, so repeated rows don't remove each other; an empty table
@@ -30,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_bucket, packed_texts, unpacked, written
+from ._shared import bucket_count, by_bucket, discard, packed_texts, unpacked, written
 
 LENGTH, ANCHOR = 50, 20
 WINDOW = LENGTH - ANCHOR + 1
 CHUNK = 1 << 20
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+BASE = 0x9E3779B97F4A7C15 | 1
+MOST_SPAN = LENGTH + WINDOW - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,6 +72,9 @@ class Polynomial:
         return (self.sums[start + length] - self.sums[start]) * self.down[start]
 
 
+RUN = ("doc", "first", "last", "anchor_at", "anchor", "span")
+
+
 def runs(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of starts with one anchor, of all documents: doc, first and last start, anchor place, hashes.
 
@@ -84,14 +89,13 @@ def runs(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         if len(own) >= LENGTH:
             out.append(_runs(own, starts[doc : end + 1] - starts[doc], doc, int(starts[doc])))
         doc = end
-    names = ("doc", "first", "last", "anchor_at", "anchor", "span", "check")
-    return {k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, "u8" if k in ("anchor", "span", "check") else "i8") for k in names}
+    return {k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, "u8" if k in ("anchor", "span") else "i8") for k in RUN}
 
 
 def _runs(own: np.ndarray, starts: np.ndarray, doc: int, offset: int) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
-        poly, n = Polynomial(own, BASES[0]), len(own)
-        grams = mixed(poly.of(np.arange(n - ANCHOR + 1), ANCHOR))
+        poly, n = Polynomial(own, BASE), len(own)
+        grams = mixed((poly.sums[ANCHOR:] - poly.sums[:-ANCHOR]) * poly.down[: n - ANCHOR + 1])
         bits = np.uint64(max(21, int(n).bit_length()))
         low = (grams >> bits << bits) | np.arange(len(grams), dtype="u8")  # leftmost among equal hashes
         size = 1
@@ -99,22 +103,18 @@ def _runs(own: np.ndarray, starts: np.ndarray, doc: int, offset: int) -> dict[st
             step = min(size, WINDOW - size)
             low = np.minimum(low[:-step], low[step:])
             size += step
-        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8")
-        first = np.arange(len(at))
-        of = np.searchsorted(starts, first, "right") - 1
-        fits = first + LENGTH <= starts[of + 1]
-        first, at, of = first[fits], at[fits], of[fits]
-        if not len(first):
-            return {k: np.zeros(0, "u8" if k in ("anchor", "span", "check") else "i8") for k in ("doc", "first", "last", "anchor_at", "anchor", "span", "check")}
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])])
-        begin = np.nonzero(new)[0]
-        last = first[np.concatenate([begin[1:] - 1, [len(first) - 1]])]
-        first, at, of = first[begin], at[begin], of[begin]
+        # a string fits if it ends within its document; strings that don't fit part the runs of two documents
+        fits, some = np.ones(n, bool), starts[1:] > starts[:-1]
+        fits[np.maximum(starts[1:][some, None] - 1 - np.arange(LENGTH - 1), starts[:-1][some, None]).ravel()] = False
+        fits = fits[: len(low)]
+        same = (low[1:] == low[:-1]) & fits[1:] & fits[:-1]
+        first = np.nonzero(fits & np.concatenate([[True], ~same]))[0]
+        last = np.nonzero(fits & np.concatenate([~same, [True]]))[0]
+        at = (low[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8")
         length = last - first + LENGTH
         shape = length.astype("u8") * np.uint64(128) + (at - first).astype("u8")
-        span = mixed(poly.of(first, length) + shape)
-        check = mixed(Polynomial(own, BASES[1]).of(first, length) ^ shape)
-        return {"doc": of + doc, "first": first + offset, "last": last + offset, "anchor_at": at + offset, "anchor": mixed(grams[at]), "span": span, "check": check}
+        of = np.searchsorted(starts, first, "right") - 1
+        return {"doc": of + doc, "first": first + offset, "last": last + offset, "anchor_at": at + offset, "anchor": mixed(grams[at]), "span": mixed(poly.of(first, length) + shape)}
 
 
 def sorted_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
@@ -122,20 +122,55 @@ def sorted_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
     order = np.argsort(first)
     same = first[order[1:]] == first[order[:-1]]
     tied = np.nonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[0] if len(order) else order
-    some = order[tied]
+    some = np.sort(order[tied])
     order[tied] = some[np.lexsort(tuple(k[some] for k in (*rest[::-1], first)))]
     return order
 
 
-def distinct_runs(r: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (anchor, span, check) of a block in order: a run of each with the smallest document; each run's number; the smallest documents."""
-    order = sorted_by(r["anchor"], r["span"], r["check"], ids[r["doc"]], r["first"])
-    a, s, c = r["anchor"][order], r["span"][order], r["check"][order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])]) if len(order) else np.zeros(0, bool)
-    number = np.empty(len(order), "i8")
-    number[order] = np.cumsum(new) - 1
-    some = order[new]
-    return some, number, ids[r["doc"][some]]
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys differ from those before; the first place does."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at x and y are the same."""
+    out, reach = x_size == y_size, np.arange(MOST_SPAN, dtype="u1")
+    spans = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(MOST_SPAN, "u1")]), MOST_SPAN)
+    for i in range(0, len(x), 20_000):
+        s = slice(i, i + 20_000)
+        out[s] &= ~((spans[x[s]] != spans[y[s]]) & (reach < x_size[s, None].astype("u1"))).any(1)
+    return out
+
+
+def distinct_runs(r: dict[str, np.ndarray], data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct spans of a block in order of (anchor, span): a run of each; each run's number; the smallest documents.
+
+    Runs of one number have the same bytes; should a hash collide, its spans get numbers of their own.
+    """
+    size, extra = r["last"] - r["first"] + LENGTH, None
+    while True:
+        keys = (r["anchor"], r["span"], *(() if extra is None else (extra,)))
+        order = sorted_by(*keys)
+        new = changes(*(k[order] for k in keys))
+        number = np.empty(len(order), "i8")
+        number[order] = np.cumsum(new) - 1
+        some = order[new]
+        again = order[~new]
+        first = some[number[again]]
+        wrong = again[~equal_bytes(data, r["first"][again], r["first"][first], size[again], size[first])]
+        if not len(wrong):
+            docs = ids[r["doc"][order]]
+            return some, number, np.minimum.reduceat(docs, np.nonzero(new)[0]) if len(docs) else docs
+        extra = np.zeros(len(order), "i8")
+        for g in np.unique(number[wrong]):
+            own = np.nonzero(number == g)[0]
+            texts = [data[x : x + n].tobytes() for x, n in zip(r["first"][own], size[own], strict=True)]
+            extra[own] = np.unique(np.array(texts, object), return_inverse=True)[1]
 
 
 def block_runs(row) -> tuple:
@@ -143,8 +178,22 @@ def block_runs(row) -> tuple:
     data = np.frombuffer(raw, "u1")
     r = runs(data, starts)
     mine = present[r["doc"]]
-    r = {k: v[mine] for k, v in r.items()}
-    return ids, starts, data, r, *distinct_runs(r, ids)
+    if not mine.all():
+        r = {k: v[mine] for k, v in r.items()}
+    return ids, starts, data, r, *distinct_runs(r, data, ids)
+
+
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """64-bit numbers, or their differences, by byte planes and compressed."""
+    x = x.astype("<u8")
+    if ascending and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    return zstandard.compress(x.view("u1").reshape(-1, 8).T.tobytes(), 1)
+
+
+def opened(x: bytes, ascending: bool = False) -> np.ndarray:
+    out = np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), "u1").reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(out, dtype="u8") if ascending else out
 
 
 # ---- the suffix sort of step 2
@@ -170,7 +219,7 @@ def less(data: np.ndarray, poly: Polynomial, x: np.ndarray, y: np.ndarray) -> np
 
 def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """A stable mergesort of the strings at `at` within groups (group is ascending), all merges of a level at once."""
-    poly, n = Polynomial(data, BASES[0]), len(at)
+    poly, n = Polynomial(data, BASE), len(at)
     begin = np.searchsorted(group, group, "left")
     size = np.searchsorted(group, group, "right") - begin
     place = np.arange(n) - begin
@@ -207,7 +256,7 @@ def smallest_holder(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np
         return out
     if not len(at):
         return doc
-    order, poly = suffix_order(data, at, group), Polynomial(data, BASES[0])
+    order, poly = suffix_order(data, at, group), Polynomial(data, BASE)
     x, y = at[order[:-1]], at[order[1:]]
     together = group[order[:-1]] == group[order[1:]]
     equal = together.copy()
@@ -241,97 +290,113 @@ def first_answers(blocks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 _, _, _, r, some, _, least = block_runs(row)
-                _, start = by_bucket(r["anchor"][some], buckets)  # already in order
-                parts = [r[k][some].astype("<u8") for k in ("anchor", "span", "check")] + [least.astype("<i8")]
-                rows = [(row.block, b, *(p[i:j].tobytes() for p in parts)) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if j > i]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "anchor", "span", "check", "doc"])
+                anchor, span = r["anchor"][some], r["span"][some]
+                _, start = by_bucket(anchor, buckets)  # already in order
+                rows = [(row.block, b, packed(anchor[i:j], True), span[i:j].astype("<u8").tobytes(), packed(least[i:j])) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if j > i]
+                yield pd.DataFrame(rows, columns=["block", "bucket", "anchor", "span", "doc"])
 
     def answer(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 8 for x in rows["doc"]]
-        a, s, c = (np.concatenate([np.frombuffer(x, "<u8") for x in rows[k]]) for k in ("anchor", "span", "check"))
-        d = np.concatenate([np.frombuffer(x, "<i8") for x in rows["doc"]])
-        order = sorted_by(a, s, c, d)
-        a, s, c, d = a[order], s[order], c[order], d[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-        begin = np.nonzero(new)[0]
-        least = d[begin][np.cumsum(new) - 1]
-        spans = np.add.reduceat(new, np.nonzero(np.concatenate([[True], a[1:] != a[:-1]]))[0])  # spans of each anchor
-        several = (spans > 1)[np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1]
+        sizes = [len(x) // 8 for x in rows["span"]]
+        a, s = np.concatenate([opened(x, True) for x in rows["anchor"]]), np.concatenate([np.frombuffer(x, "<u8") for x in rows["span"]])
+        d = np.concatenate([opened(x) for x in rows["doc"]]).view("<i8")
+        order = sorted_by(a, s)
+        a, s, d = a[order], s[order], d[order]
+        new, other = changes(a, s), changes(a)
+        begin, number = np.nonzero(new)[0], np.cumsum(new) - 1
+        least, most = np.minimum.reduceat(d, begin)[number], np.maximum.reduceat(d, begin)[number]
+        several = (np.add.reduceat(new, np.nonzero(other)[0]) > 1)[np.cumsum(other) - 1]  # spans of each anchor
         out = np.empty(len(a), "u1")
-        out[order] = np.where(least < d, 1, np.where(several, 2, 0))
-        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "answer": [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]})
+        out[order] = np.where(least < d, 1, np.where(several, 2, np.where(most > d, 3, 0)))
+        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "answer": [zstandard.compress(x.tobytes(), 1) for x in np.split(out, np.cumsum(sizes)[:-1])]})
 
-    asked = blocks.mapInPandas(ask, "block string, bucket int, anchor binary, span binary, check binary, doc binary")
+    asked = blocks.mapInPandas(ask, "block string, bucket int, anchor binary, span binary, doc binary")
     return asked.groupBy("bucket").applyInPandas(answer, "block string, bucket int, answer binary")
 
 
 def ordered_answers(rows: pd.DataFrame) -> np.ndarray:
     parts = rows.sort_values("bucket")["answer"]
-    return np.concatenate([np.frombuffer(x, "u1") for x in parts]) if len(parts) else np.zeros(0, "u1")
+    return np.concatenate([np.frombuffer(zstandard.decompress(x), "u1") for x in parts]) if len(parts) else np.zeros(0, "u1")
+
+
+def held_strings(anchor: np.ndarray, span: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, code: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each string of each span, in order, 1 where a smaller document holds it.
+
+    The strings of a span that answered 1 are held if the bytes of its first holder say so; the others are sorted.
+    """
+    begin, windows = np.cumsum(size) - size, size - LENGTH + 1
+    order = sorted_by(anchor, span, doc)
+    new = changes(anchor[order], span[order])
+    holder = np.empty(len(order), "i8")
+    holder[order] = order[new][np.cumsum(new) - 1]
+    copies = np.nonzero(code == 1)[0]
+    same = equal_bytes(data, begin[copies], begin[holder[copies]], size[copies], size[holder[copies]])
+    same &= doc[holder[copies]] < doc[copies]
+    settled = np.zeros(len(size), bool)
+    settled[copies[same]] = True
+    collided = np.isin(anchor, anchor[copies[~same]])
+    todo = np.nonzero(((code == 2) | collided) & ~settled)[0]
+    flags = np.repeat(settled.astype("u1"), windows)
+    of = np.repeat(todo, windows[todo])
+    step = np.arange(len(of)) - np.repeat(np.cumsum(windows[todo]) - windows[todo], windows[todo])
+    # equal strings have the same anchor at the same place
+    where = place[of] - step
+    order = np.lexsort((where, anchor[of]))
+    group = np.cumsum(changes(anchor[of][order], where[order])) if len(order) else order
+    least = np.empty(len(of), "i8")
+    least[order] = smallest_holder(data, (begin[of] + step)[order], group, doc[of][order])
+    flags[(np.cumsum(windows) - windows)[of] + step] = least < doc[of]
+    return flags
 
 
 def second_answers(blocks: DataFrame, first: DataFrame, buckets: int) -> DataFrame:
-    """Rows (block, anchor, span, check, holders): which strings of a span (bytes of 0 or 1) a smaller document holds."""
-    empty = pd.DataFrame(columns=["bucket", "block", "anchor", "span", "check", "doc", "place", "size", "bytes"])
+    """Rows (block, bucket, answer): which strings of the spans sent (bytes of 0 or 1) a smaller document holds."""
+    names = ["bucket", "block", "anchor", "span", "doc", "shape", "bytes"]
 
     def send(key, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if own.empty or answers.empty:
-            return empty
-        _, _, data, r, some, _, least = block_runs(next(own.itertuples()))
-        wanted = np.nonzero(ordered_answers(answers) == 2)[0]
-        pick = some[wanted]
-        order, start = by_bucket(r["anchor"][pick], buckets)
-        pick, wanted = pick[order], wanted[order]
+            return pd.DataFrame(columns=names)
+        _, _, raw, r, some, _, least = block_runs(next(own.itertuples()))
+        code = ordered_answers(answers)
+        wanted = np.nonzero(code)[0]
+        pick, raw = some[wanted], raw.tobytes()
+        anchor, span, doc = r["anchor"][pick], r["span"][pick], least[wanted]
+        from_, to = r["first"][pick], r["last"][pick] + LENGTH
+        shape = np.stack([r["anchor_at"][pick] - from_, to - from_, code[wanted]]).astype("u1")
+        _, start = by_bucket(anchor, buckets)  # already in order
         rows = []
         for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)):
             if j > i:
-                p = pick[i:j]
-                spans = [data[x : y + LENGTH].tobytes() for x, y in zip(r["first"][p], r["last"][p], strict=True)]
-                rows.append((b, key[0], *(r[k][p].astype("<u8").tobytes() for k in ("anchor", "span", "check")), least[wanted[i:j]].astype("<i8").tobytes(), (r["anchor_at"][p] - r["first"][p]).astype("<i8").tobytes(), np.array([len(x) for x in spans], "<i8").tobytes(), b"".join(spans)))
-        return pd.DataFrame(rows, columns=list(empty.columns))
+                spans = b"".join([raw[x:y] for x, y in zip(from_[i:j].tolist(), to[i:j].tolist(), strict=True)])
+                rows.append((b, key[0], packed(anchor[i:j], True), span[i:j].astype("<u8").tobytes(), packed(doc[i:j]), shape[:, i:j].tobytes(), zstandard.compress(spans, 1)))
+        return pd.DataFrame(rows, columns=names)
 
     def sort(key, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = [len(x) // 8 for x in rows["doc"]]
-        anchor, doc, place, size = (np.concatenate([np.frombuffer(x, k) for x in rows[n]]) for n, k in (("anchor", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("size", "<i8")))
-        data = np.frombuffer(b"".join(rows["bytes"]), "u1")
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        windows = size - LENGTH + 1
-        of = np.repeat(np.arange(len(size)), windows)
-        step = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-        # equal strings have the same anchor at the same place
-        where = place[of] - step
-        order = np.lexsort((where, anchor[of]))
-        a, w = anchor[of][order], where[order]
-        group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (w[1:] != w[:-1])])) if len(order) else order
-        holder = np.empty(len(of), "i8")
-        holder[order] = smallest_holder(data, (begin[of] + step)[order], group, doc[of][order])
-        flags = (holder < doc[of]).astype("u1")
-        cuts = np.cumsum(windows)
-        ends = np.cumsum(counts) - 1
-        parts = np.split(flags, cuts[ends[:-1]])
-        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "answer": [x.tobytes() for x in parts]})
-
-    sent = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(send, "bucket int, block string, anchor binary, span binary, check binary, doc binary, place binary, size binary, bytes binary")
+        counts = [len(x) // 8 for x in rows["span"]]
+        anchor, span = np.concatenate([opened(x, True) for x in rows["anchor"]]), np.concatenate([np.frombuffer(x, "<u8") for x in rows["span"]])
+        doc = np.concatenate([opened(x) for x in rows["doc"]]).view("<i8")
+        place, size, code = np.concatenate([np.frombuffer(x, "u1").reshape(3, -1) for x in rows["shape"]], axis=1).astype("i8")
+        data = np.frombuffer(b"".join(map(zstandard.decompress, rows["bytes"])), "u1")
+        flags = held_strings(anchor, span, doc, place, size, code, data)
+        cuts = np.cumsum(size - LENGTH + 1)[np.cumsum(counts) - 1]
+        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "answer": [zstandard.compress(x.tobytes(), 1) for x in np.split(flags, cuts[:-1])]})
+
+    sent = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(send, "bucket int, block string, anchor binary, span binary, doc binary, shape binary, bytes binary")
     return sent.groupBy("bucket").applyInPandas(sort, "block string, bucket int, answer binary")
 
 
-def marked(row, first: np.ndarray, second: np.ndarray, buckets: int) -> tuple:
+def marked(row, first: np.ndarray, second: np.ndarray) -> tuple:
     """ids, starts, data and the mask of bytes to remove."""
     ids, starts, data, r, some, number, least = block_runs(row)
     cover = np.zeros(len(data) + LENGTH + 1, "i4")
     if len(some):
-        # a run repeats a smaller document wholly if the block has its span in one or another block answered 1
-        whole = (ids[r["doc"]] > least[number]) | (first[number] == 1)
+        # a smaller document of the block has a run's span: all of its strings are repeats
+        whole = ids[r["doc"]] > least[number]
         np.add.at(cover, r["first"][whole], 1)
         np.add.at(cover, r["last"][whole] + LENGTH, -1)
-        wanted = np.nonzero(first == 2)[0]
-        order, _ = by_bucket(r["anchor"][some[wanted]], buckets)
-        wanted = wanted[order]
-        windows = (r["last"] - r["first"] + 1)[some[wanted]]
-        begin = np.full(len(some), -1)
-        begin[wanted] = np.concatenate([[0], np.cumsum(windows)[:-1]]) if len(wanted) else []
-        part = np.nonzero(~whole & (first[number] == 2))[0]
-        n = (r["last"] - r["first"] + 1)[part]
+        windows = np.where(first > 0, (r["last"] - r["first"] + 1)[some], 0)
+        begin = np.cumsum(windows) - windows
+        part = np.nonzero(~whole & (first[number] > 0))[0]
+        n = windows[number[part]]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = second[np.repeat(begin[number[part]], n) + step] == 1
         at = (np.repeat(r["first"][part], n) + step)[hit]
@@ -349,8 +414,9 @@ def without_repeats(docs: DataFrame, block_bytes: int = 6_000_000, carry: str |
 
     blocks = written(packed_texts(docs, block_bytes, carry))
     n = blocks.count()
-    buckets = min(4096, max(16, n))
+    buckets = bucket_count(n)
     first = written(first_answers(blocks, buckets))
+    discard(docs.sparkSession)
     second = written(second_answers(blocks, first, buckets))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, carried string" if carry else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -360,7 +426,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = 6_000_000, carry: str |
             return pd.DataFrame(columns=names)
         row = next(own.itertuples())
         one, two = (ordered_answers(answers[answers["step"] == k]) for k in (1, 2))
-        ids, starts, data, gone = marked(row, one, two, buckets)
+        ids, starts, data, gone = marked(row, one, two)
         present, extra = np.frombuffer(row.present, "?"), json.loads(row.extra) if carry else None
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -372,7 +438,8 @@ def without_repeats(docs: DataFrame, block_bytes: int = 6_000_000, carry: str |
             kept = data[a:b][~gone[a:b]].tobytes()
             one_row = (int(ids[i]) if present[i] else None, int(b - a), int(sums[b] - sums[a]), int(edges[b] - edges[a]), hashlib.sha256(kept).hexdigest())
             out.append((*one_row, kept.decode("utf-8", "ignore"), extra[i]) if carry else one_row)
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        columns = dict(zip(names, zip(*out, strict=True), strict=True))
+        return pd.DataFrame(columns | {"doc_id": pd.array(list(columns["doc_id"]), "Int64")})
 
     both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
     return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(finish, schema)
