@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemark.llm import language_model as lm
 from tidemark.llm import substrings as sub
@@ -245,6 +246,50 @@ def test_leaf_probabilities_sum_to_one():
     assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
+def plain_scores(rows, leaves, net):
+    """Scores of (doc_id, text) rows by loops over tokens: counts, leaves and the network's equations, one word at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    count = Counter(w for i, t in rows if not lm.is_held_out(i, 5) for w in lm.tokens_of(t))
+    singles = {int(h): k for k, h in enumerate(leaves.words)}
+    leaf_of = lambda w: 0 if w is None else singles.get(xxhash.xxh3_64_intdigest(w), lm.SINGLES + zlib.crc32(w[-3:]) % lm.RARE)
+    held = {}
+    for w, c in count.items():
+        held.setdefault(leaf_of(w), []).append(c)
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    out = []
+    for doc, text in rows:
+        h, before, total = np.zeros(lm.HIDDEN), 0, 0.0
+        for w in [*lm.tokens_of(text), None]:
+            h = h if before else np.zeros(lm.HIDDEN)
+            f = 1 / (1 + np.exp(-(p["x"][before, : lm.HIDDEN] + h @ p["uf"])))
+            u = p["x"][before, lm.HIDDEN :] + (f * h) @ p["un"]
+            h = h + f * (u / (1 + np.abs(u)) - h)
+            leaf = leaf_of(w)
+            c, m = leaf % lm.CLASSES, leaf // lm.CLASSES
+            total += soft(h @ p["cw"] + p["cb"])[c] + soft(h @ p["lw"][c] + p["lb"][c])[m]
+            if leaf >= lm.SINGLES:
+                own = held.get(leaf, [])
+                total += np.log((count[w] + 0.5) / (sum(own) + 0.5 * (len(own) + 1)))
+            before = leaf
+        out.append((doc, total / np.log(10)))
+    return sorted(out, key=repr)
+
+
+def test_scores_against_plain_loops_and_other_partitions(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(5000)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120)))) for i in range(150)]
+    rows += [(2**53 + 1, "w1 w2 w1"), (2**53 + 3, "w3"), (None, "w1 w9 unheard"), (7, "w5 w6"), (7, "w5 w6"), (None, None), (200, " ".join(vocabulary[:3000]))]
+    schema = "doc_id long, text string, tokens int, number string"
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], schema)
+    got = sorted(((r.doc_id, r.score) for r in lm.score_documents(frame.repartition(3)).collect()), key=repr)
+    assert got == sorted(((r.doc_id, r.score) for r in lm.score_documents(frame.repartition(7, "text")).collect()), key=repr)
+    _, leaves, net = lm.fitted(frame)
+    want = plain_scores(rows, leaves, net)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4)
+
+
 def test_model_beats_counts_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm.score_documents(docs).where("held_out").groupBy().sum("score", "base_score", "n_tokens").first()

@@ -10,14 +10,17 @@ the counts of all training tokens; one more word of each leaf stands for all unk
 a zero state, and its state is carried across windows to its end, for training (truncated backpropagation within
 a window) as for scoring. Every training token is trained on once.
 
-How it is laid out: each task packs its documents into blocks and writes them as token numbers; blocks send their
-distinct words (hash, count) to hash buckets, which add up and answer each block with the total counts; from then
-on a block is a row of leaf numbers. Training is data-parallel: each task trains on its blocks, the weights are
-averaged by tokens, in two rounds (a first share of the blocks, then the rest from the first average).
+How it is laid out: documents are dealt to partitions and ordered by a hash of id and text, so that blocks, and with
+them the model, depend on the rows alone and not on how the input is split or on which task was retried. Each partition
+packs its documents into numbered blocks of token numbers; blocks send their distinct words (hash, count) to hash
+buckets, which add up and answer each block with the total counts; from then on a block is a row of leaf numbers.
+Training is data-parallel: groups of GROUP blocks with neighbouring numbers train in the order of their numbers, the
+weights are averaged by tokens in a fixed tree of sums, in two rounds (a first share of the blocks, then the rest from
+the first average).
 
 Edge cases: null and empty texts are one end token; a null doc_id counts as training text; repeated rows count as
 often as they occur; an empty table gives no rows; without training text all counts are 0 and every token is
-unknown; further columns are ignored.
+unknown; further columns are ignored. Words are counted by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_bucket, written
+from ._shared import bucket_count, by_bucket, discard, written
 
 SINGLES, RARE = 512, 164
 CLASSES = LEAVES_PER_CLASS = 26  # CLASSES * LEAVES_PER_CLASS == SINGLES + RARE
@@ -41,6 +45,8 @@ LEAVES = SINGLES + RARE
 HIDDEN = 16
 END_HASH = 1
 BLOCK_TOKENS = 1_500_000
+#: Blocks of a training group, the blocks of which one is in the first round, and groups added up at once.
+GROUP, FIRST, SUMMED = 4, 6, 64
 LOG10 = np.log(10.0)
 
 
@@ -56,39 +62,49 @@ def tokens_of(text: str | None) -> list[bytes]:
 # ---- blocks of token numbers and their words' counts
 
 
+def partition_count(total_bytes: int) -> int:
+    """Partitions for texts of so many bytes; it depends on the data alone."""
+    return max(4, min(total_bytes // 8_000_000, 512), total_bytes // 500_000_000)
+
+
 def packed_blocks(docs: DataFrame, fold: int) -> DataFrame:
-    """Rows (block, ids, lengths, held, tokens, hashes, rare, counts): documents as numbers of the block's words.
+    """Rows (number, ids, present, lengths, held, tokens, hashes, rare, counts): documents as numbers of the block's words.
 
     Word 0 is the end. counts are those of training documents.
     """
+    parts = partition_count(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_place"))
+    rows = rows.repartition(parts, "_place").sortWithinPartitions("_place", "doc_id", "text")
+    kinds = [pa.int64()] + [pa.binary()] * 8
+    names = ["number", "ids", "present", "lengths", "held", "tokens", "hashes", "rare", "counts"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         known: dict[bytes, int] = {}
         ids: list[int | None] = []
         pieces: list[np.ndarray] = []
         total = 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             words = list(known)
             tokens = np.concatenate(pieces)
-            lengths = np.array([len(p) for p in pieces], "int64")
+            lengths = np.array([len(p) for p in pieces], "<i8")
             held = np.array([is_held_out(i, fold) for i in ids])
             counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words) + 1).astype("<i8")
             hashes = np.array([END_HASH, *map(xxhash.xxh3_64_intdigest, words)], "<u8")
             rare = np.array([0, *(zlib.crc32(w[-3:]) % RARE for w in words)], "<u2")
             present = np.array([i is not None for i in ids])
-            row = {"block": f"{part}-{made}", "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "present": present.tobytes(), "lengths": lengths.tobytes(), "held": held.tobytes()}
-            row |= {"tokens": tokens.astype("<u4").tobytes(), "hashes": hashes.tobytes(), "rare": rare.tobytes(), "counts": counts.tobytes()}
-            return pd.DataFrame([row])
+            arrays = [np.array([i or 0 for i in ids], "<i8"), present, lengths, held, tokens.astype("<u4"), hashes, rare, counts]
+            row = [made * parts + part, *(x.tobytes() for x in arrays)]
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = tokens_of(text)
+            for i in range(batch.num_rows):
+                words = tokens_of(batch.column(1)[i].as_py())
                 get = known.setdefault
                 numbers = [get(w, len(known) + 1) for w in words]
                 numbers.append(0)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(batch.column(0)[i].as_py())
                 pieces.append(np.array(numbers, "u4"))
                 total += len(numbers)
                 if total >= BLOCK_TOKENS:
@@ -97,12 +113,11 @@ def packed_blocks(docs: DataFrame, fold: int) -> DataFrame:
         if ids:
             yield out()
 
-    schema = "block string, ids binary, present binary, lengths binary, held binary, tokens binary, hashes binary, rare binary, counts binary"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return rows.select("doc_id", "text").mapInArrow(run, "number long, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
 def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Rows (kind, block, bucket, answer, n, v, rare_n, rare_v, top, top_n).
+    """Rows (kind, number, bucket, answer, n, v, rare_n, rare_v, top, top_n).
 
     kind 'a' answers a block with the total counts of its words in a bucket, in its own order; kind 's' has a
     bucket's sums: tokens and words, the same by rare leaf, and its commonest words.
@@ -114,8 +129,8 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
                 hashes, rare, counts = np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.rare, "<u2"), np.frombuffer(r.counts, "<i8")
                 order, start = by_bucket(hashes, buckets)
                 hashes, rare, counts = hashes[order], rare[order], counts[order]
-                rows = [(r.block, b, hashes[i:j].tobytes(), rare[i:j].tobytes(), counts[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if j > i]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "h", "r", "c"])
+                rows = [(r.number, b, hashes[i:j].tobytes(), rare[i:j].tobytes(), counts[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if j > i]
+                yield pd.DataFrame(rows, columns=["number", "bucket", "h", "r", "c"])
 
     def add(key, rows: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(x) // 8 for x in rows["h"]]
@@ -129,13 +144,13 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         top = top[word[top]]
         sums = {"n": int(total.sum()), "v": int(seen.sum()), "rare_n": np.bincount(rare[word], total[word], RARE).astype("i8"), "rare_v": np.bincount(rare[word], minlength=RARE)}
         sums |= {"top": words[top].astype("i8"), "top_n": total[top], "top_rare": rare[top].astype("i4")}
-        out = [{"kind": "a", "block": b, "bucket": key[0], "answer": a.astype("<i8").tobytes()} for b, a in zip(rows["block"], answers, strict=True)]
-        names = ["kind", "block", "bucket", "answer", *sums]
+        out = [{"kind": "a", "number": b, "bucket": key[0], "answer": a.astype("<i8").tobytes()} for b, a in zip(rows["number"], answers, strict=True)]
+        names = ["kind", "number", "bucket", "answer", *sums]
         rows = [[x.get(k) for k in names] for x in (*out, {"kind": "s", "bucket": key[0], **sums})]
-        return pd.DataFrame(rows, columns=names, dtype=object).astype({"n": "Int64", "v": "Int64"})
+        return pd.DataFrame(rows, columns=names, dtype=object).astype({"number": "Int64", "n": "Int64", "v": "Int64"})
 
-    asked = blocks.select("block", "hashes", "rare", "counts").mapInPandas(ask, "block string, bucket int, h binary, r binary, c binary")
-    schema = "kind string, block string, bucket int, answer binary, n long, v long, rare_n array<long>, rare_v array<long>, top array<long>, top_n array<long>, top_rare array<int>"
+    asked = blocks.select("number", "hashes", "rare", "counts").mapInPandas(ask, "number long, bucket int, h binary, r binary, c binary")
+    schema = "kind string, number long, bucket int, answer binary, n long, v long, rare_n array<long>, rare_v array<long>, top array<long>, top_n array<long>, top_rare array<int>"
     return asked.groupBy("bucket").applyInPandas(add, schema)
 
 
@@ -174,11 +189,11 @@ class Leaves:
 
 
 def leafed_blocks(blocks: DataFrame, counts: DataFrame, leaves: Leaves, buckets: int) -> DataFrame:
-    """Rows (ids, present, lengths, held, leaf, known, base, inner): a block as leaf numbers, with what counts alone give."""
+    """Rows (number, ids, present, lengths, held, leaf, known, base, inner): a block as leaf numbers, with what counts alone give."""
     n, v = leaves.n, leaves.v
 
     def run(key, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names = ["ids", "present", "lengths", "held", "leaf", "known", "base", "inner"]
+        names = ["number", "ids", "present", "lengths", "held", "leaf", "known", "base", "inner"]
         if own.empty:
             return pd.DataFrame(columns=names)
         r = own.iloc[0]
@@ -190,12 +205,12 @@ def leafed_blocks(blocks: DataFrame, counts: DataFrame, leaves: Leaves, buckets:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         summed = lambda x: np.add.reduceat(x[tokens], starts)
         base = summed(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
-        row = [r.ids, r.present, r.lengths, r.held, leaf[tokens].tobytes(), summed((c > 0).astype("i8")).tobytes(), base.tobytes(), summed(leaves.within(leaf, c)).tobytes()]
+        row = [r.number, r.ids, r.present, r.lengths, r.held, leaf[tokens].tobytes(), summed((c > 0).astype("i8")).tobytes(), base.tobytes(), summed(leaves.within(leaf, c)).tobytes()]
         return pd.DataFrame([row], columns=names)
 
-    answers = counts.where("kind = 'a'").select("block", "bucket", "answer")
-    schema = "ids binary, present binary, lengths binary, held binary, leaf binary, known binary, base binary, inner binary"
-    return blocks.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    answers = counts.where("kind = 'a'").select("number", "bucket", "answer")
+    schema = "number long, ids binary, present binary, lengths binary, held binary, leaf binary, known binary, base binary, inner binary"
+    return blocks.drop("counts").groupBy("number").cogroup(answers.groupBy("number")).applyInPandas(run, schema)
 
 
 # ---- the network
@@ -237,55 +252,67 @@ class Network:
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step of a window (steps, lanes); an end as input starts from zero. Fills keep for backward."""
         p, out = self.p, np.empty((*inputs.shape, HIDDEN), "f4")
+        into, fresh_all = p["x"][inputs], (inputs != 0).astype("f4")[:, :, None]
         with np.errstate(over="ignore"):
             for t in range(len(inputs)):
-                fresh = (inputs[t] != 0).astype("f4")[:, None]
-                h = h * fresh
-                a = p["x"][inputs[t]]
-                f = 1 / (1 + np.exp(-(a[:, :HIDDEN] + h @ p["uf"])))
+                h = h * fresh_all[t]
+                f = h @ p["uf"]
+                f += into[t, :, :HIDDEN]
+                np.negative(f, out=f)
+                np.exp(f, out=f)
+                f += 1
+                np.reciprocal(f, out=f)
                 g = f * h
-                u = a[:, HIDDEN:] + g @ p["un"]
-                n = u / (1 + np.abs(u))
+                n = g @ p["un"]
+                n += into[t, :, HIDDEN:]
+                n /= np.abs(n) + 1
                 if keep is not None:
-                    keep.append((fresh, h, f, g, n))
+                    keep.append((fresh_all[t], h, f, g, n))
                 h = h + f * (n - h)
                 out[t] = h
         return out
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
         """Natural log P(leaf | state) of each row; with grads also d(sum of -log P) / d(state), filling the output's gradients."""
-        p, cls, member = self.p, targets % CLASSES, targets // CLASSES
-        rows = np.arange(len(targets))
-        z = states @ p["cw"] + p["cb"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1)
-        out = z[rows, cls] - np.log(total)
+        p, cls, member = self.p, (targets % CLASSES).astype("u1"), targets // CLASSES
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        cls, member, at = cls[order], member[order], np.arange(len(order))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        s = np.ascontiguousarray(states[order].T)  # (HIDDEN, rows) by class: sums over classes and members run along rows
+
+        def softmax(w: np.ndarray, b: np.ndarray, x: np.ndarray, picked: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            """log P of the picked ones, and d(-log P) / d(logits) if gradients are wanted."""
+            z = w.T @ x
+            z += b[:, None]
+            z -= z.max(0)
+            of = z[picked, places]
+            np.exp(z, out=z)
+            total = z.sum(0)
+            if grads is not None:
+                z /= total
+                z[picked, places] -= 1
+            return of - np.log(total), z
+
+        logp, d = softmax(p["cw"], p["cb"], s, cls, at)
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["cw"], grads["cb"] = states.T @ d, d.sum(0)
-            back = d @ p["cw"].T
+            grads["cw"], grads["cb"], back = s @ d.T, d.sum(1), p["cw"] @ d
             grads["lw"], grads["lb"] = np.zeros_like(p["lw"]), np.zeros_like(p["lb"])
         for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if not len(own):
+            i, j = cuts[c], cuts[c + 1]
+            if i == j:
                 continue
-            s, m = states[own], member[own]
-            z = s @ p["lw"][c] + p["lb"][c]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1)
-            at = np.arange(len(own))
-            out[own] += z[at, m] - np.log(total)
+            own, d = softmax(p["lw"][c], p["lb"][c], s[:, i:j], member[i:j], at[: j - i])
+            logp[i:j] += own
             if grads is not None:
-                d = e / total[:, None]
-                d[at, m] -= 1
-                grads["lw"][c], grads["lb"][c] = s.T @ d, d.sum(0)
-                back[own] += d @ p["lw"][c].T
-        return out if grads is None else (out, back)
+                grads["lw"][c], grads["lb"][c] = s[:, i:j] @ d.T, d.sum(1)
+                back[:, i:j] += p["lw"][c] @ d
+        out = np.empty_like(logp)
+        out[order] = logp
+        if grads is None:
+            return out
+        d_states = np.empty_like(states)
+        d_states[order] = back.T
+        return out, d_states
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss over a window, the state after it, and the summed loss. real: places that hold tokens."""
@@ -302,7 +329,8 @@ class Network:
             fresh, before, f, g, n = keep[t]
             dh += d_out[t]
             df = dh * (n - before)
-            du[t] = dh * f * (1 - np.abs(n)) ** 2
+            slope = 1 - np.abs(n)
+            du[t] = dh * f * slope * slope
             dg = du[t] @ p["un"].T
             df += dg * before
             daf[t] = df * f * (1 - f)
@@ -385,51 +413,58 @@ def block_scores(net: Network, leaf: np.ndarray, lengths: np.ndarray, window: in
     return out / LOG10
 
 
-def trained(blocks: DataFrame, leaves: Leaves, rate: float, tokens_per_task: int) -> Network:
+def trained(blocks: DataFrame, leaves: Leaves, rate: float) -> Network:
     """One pass over all training documents in two rounds of data-parallel training."""
-    net = Network.fresh(leaves.sizes)
-    numbered = blocks.select("lengths", "held", "leaf", F.pmod(F.xxhash64("ids"), F.lit(6)).alias("share"))
-    for part, of in ((F.col("share") == 0, 6), (F.col("share") != 0, 1)):
-        start = net.flat()
+    net, number = Network.fresh(leaves.sizes), F.col("number")
+    n_blocks = (blocks.agg(F.max("number")).first()[0] or 0) + 1
+    rounds = ((number % FIRST == 0, FIRST * GROUP), (number % FIRST != 0, GROUP + 1))
+    for chosen, span in rounds:  # fit is sent with the start of its round
+        start, groups = net.flat(), -(-n_blocks // span)
 
-        def fit(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
+        def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             own, seen = Trainer(Network.of_flat(start), rate), 0
-            for batch in batches:
-                for r in batch.itertuples():
-                    lengths, held, leaf = np.frombuffer(r.lengths, "<i8"), np.frombuffer(r.held, "?"), np.frombuffer(r.leaf, "<u2")
-                    if held.all():
-                        continue
+            for r in rows.sort_values("number").itertuples():
+                lengths, held, leaf = np.frombuffer(r.lengths, "<i8"), np.frombuffer(r.held, "?"), np.frombuffer(r.leaf, "<u2")
+                if not held.all():
                     own.block(leaf[np.repeat(~held, lengths)].astype("i4"), lengths[~held])
                     seen += int(lengths[~held].sum())
-            if seen:
-                yield pd.DataFrame({"weight": [float(seen)], "params": [(own.net.flat().astype("<f8") * seen).tobytes()]})
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weight, total = 0.0, None
-            for batch in batches:
-                for r in batch.itertuples():
-                    x = np.frombuffer(r.params, "<f8")
-                    weight, total = weight + r.weight, x if total is None else total + x
-            if total is not None:
-                yield pd.DataFrame({"weight": [weight], "params": [total.tobytes()]})
-
-        tasks = max(1, round(leaves.n / of / tokens_per_task))
-        schema = "weight double, params binary"
-        sums = numbered.where(part).repartition(tasks).mapInPandas(fit, schema).repartition(min(8, tasks)).mapInPandas(add, schema).collect()  # at most 8 rows
-        if sums:
-            net = Network.of_flat(sum(np.frombuffer(r.params, "<f8") for r in sums) / sum(r.weight for r in sums))
+            params = (own.net.flat().astype("<f8") * seen).tobytes()
+            return pd.DataFrame({"group": [key[0]], "weight": [float(seen)], "params": [params]})
+
+        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("group")
+            total = sum(np.frombuffer(x, "<f8") for x in rows["params"])
+            return pd.DataFrame({"group": [key[0]], "weight": [rows["weight"].sum()], "params": [total.tobytes()]})
+
+        schema = "group long, weight double, params binary"
+        slim = blocks.where(chosen).select("number", "lengths", "held", "leaf", F.floor(number / span).alias("group"))
+        sums = slim.repartition(groups, "group").groupBy("group").applyInPandas(fit, schema)
+        while groups > SUMMED:
+            groups = -(-groups // SUMMED)
+            sums = sums.groupBy(F.floor(F.col("group") / SUMMED).alias("key")).applyInPandas(add, schema)
+        rows = sorted((r for r in sums.collect() if r.weight), key=lambda r: r.group)  # at most SUMMED rows
+        if rows:
+            net = Network.of_flat(sum(np.frombuffer(r.params, "<f8") for r in rows) / sum(r.weight for r in rows))
     return net
 
 
-def score_documents(docs: DataFrame, fold: int = 5, rate: float = 0.02, tokens_per_task: int = 6_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
+def fitted(docs: DataFrame, fold: int = 5, rate: float = 0.02) -> tuple[DataFrame, Leaves, Network]:
+    """The blocks of leafed_blocks, the leaves and the network that was trained on them."""
+    spark = docs.sparkSession
     blocks = written(packed_blocks(docs, fold))
-    n_blocks = blocks.count()
-    buckets = min(4096, max(16, n_blocks))
+    buckets = bucket_count(blocks.count())
     counts = written(word_counts(blocks, buckets))
+    discard(spark)
     leaves = Leaves(counts)
     ready = written(leafed_blocks(blocks, counts, leaves, buckets))
-    flat, n = trained(ready, leaves, rate, tokens_per_task).flat(), int(leaves.n)
+    discard(spark, blocks, counts)
+    return ready, leaves, trained(ready, leaves, rate)
+
+
+def score_documents(docs: DataFrame, fold: int = 5, rate: float = 0.02) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
+    ready, leaves, net = fitted(docs, fold, rate)
+    flat, n = net.flat(), int(leaves.n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network.of_flat(flat)
