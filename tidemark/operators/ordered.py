@@ -25,7 +25,8 @@ def later_minimum(df: DataFrame, order: str, value: Column, name: str, width: in
     """Adds the smallest value among the rows strictly after each row (null after the last)."""
     cut = df.withColumn("_v", value).withColumn("_range", F.floor(F.col(order) / width))
     least = cut.groupBy("_range").agg(F.min("_v").alias("_m"))
-    after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    later = least.select("_range", F.min("_m").over(after).alias("_later"))
-    inside = F.min("_v").over(Window.partitionBy("_range").orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    # from the end on, so that each frame grows by one row: one that shrinks is evaluated anew for each row
+    seen = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    later = least.select("_range", F.min("_m").over(seen(Window.orderBy(F.col("_range").desc()))).alias("_later"))
+    inside = F.min("_v").over(seen(Window.partitionBy("_range").orderBy(F.col(order).desc())))
     return cut.join(later, "_range").withColumn(name, F.least(inside, "_later")).drop("_v", "_range", "_later")
