@@ -181,6 +181,21 @@ def test_components_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in linked(rows).collect())[1] == (1, 1)
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null ids, ids over 2^53, one id with two texts, and clashing columns."""
+    big, text = 2**53 + 1, lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(big, text("a")), (big + 2, text("a") + " x"), (None, text("a") + " y"), (None, "one two three four five six seven")]
+    rows += [(5, text("b")), (5, text("c")), (6, text("c") + " z"), (7, text("d", 9)), (7, text("d", 9)), (8, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i, "x", 1, 2) for i, r in enumerate(rows)], "doc_id long, text string, n long, block string, node long, comp long")
+    got = linked(docs, count=True, mark=True)
+    want = [(big, 36, big, 1), (big + 2, 37, big, 1), (None, 37, big, None), (None, 3, None, None), (5, 36, 5, 0), (5, 36, 5, 1), (6, 37, 5, 1), (7, 5, 7, 0), (7, 5, 7, 0), (8, 0, 8, 0), (None, 0, None, None)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r[:4]) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=key) == sorted(want, key=key)
+    firsts = {(r.doc_id, r.text_md5) for r in got.where("is_first").collect()}
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    assert firsts == {(i, md5(rows[k][1])) for i, k in ((big, 0), (None, 3), (5, 4), (5, 5), (7, 7), (8, 9), (None, 10))}
+
+
 # ---- language model
 
 

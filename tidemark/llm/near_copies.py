@@ -2,7 +2,7 @@
 
 Exact, in these steps; sets are sorted arrays of 64-bit shingle hashes.
 
-1. Equal texts become one document (the smallest id).
+1. Rows of equal text become one node; what follows links nodes, and each row belongs to the node of its text.
 2. Every block of documents reports its distinct shingles to hash buckets and gets back in how many documents each
    occurs. In the global order (rarest first, then by hash), two sets of which neither shares one of its first
    n - ceil(0.8 n) + 1 shingles with the other's cannot overlap enough. A shingle of one document alone can match
@@ -12,19 +12,23 @@ Exact, in these steps; sets are sorted arrays of 64-bit shingle hashes.
    shingle flips one) differs least. Bits that differ bound the overlap from above:
    |A n B| <= (|A| + |B| - differing bits) / 2. Pairs within the bound are verified by sorted-array intersection.
 4. What is left is exact for the rest: in each group, the documents outside the group's largest component are
-   tiled, sorted by size, against all documents of the group, in tiles of bounded size; pairs of different
-   components whose sizes and bitmaps allow 0.8 are verified. No pair is cut off.
+   tiled, sorted by size, against all documents of the group, in tiles of bounded size. A size that many documents
+   share is dealt over several tiles. Tiles meet only where their bands of sizes allow 0.8; of those, pairs of
+   different components whose sizes and bitmaps allow 0.8 are verified. No pair is cut off.
 5. On demand, links are counted: they lie within components, so each component's distinct texts, sorted by size, meet
    in tiles of bounded bytes; all pairs whose sizes and bitmaps allow 0.8 are verified there, and each text counts as
    many times as there are documents with it. Only sums leave a tile.
 
 Edge cases: a document with fewer words than a shingle is one shingle, the whole sequence; null, empty and blank
-texts have no shingles and no links; repeated rows are equal texts; rows without doc_id get a null component; an
-empty table gives no rows; further columns are ignored; long texts are whole.
+texts have no shingles and no links. Every row is judged by its own text: repeated rows are copies of each other, and
+rows of one doc_id with different texts are linked only if their texts are. A row without doc_id has its shingles and
+links, but its id can't name a component: component_id is the smallest doc_id among all rows that links reach, null if
+none of them has one. An empty table gives no rows; further columns are ignored; long texts are whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import by_bucket, packed_texts, unpacked, written
+from ._shared import bucket_count, by_bucket, discard, packed_texts, unpacked, written
 from .graph import components
 
 SHINGLE, SHARE = 5, (80, 100)
@@ -92,31 +96,42 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of all rows, and (rep, key), the smallest doc_id of each text."""
-    keyed = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")))
-    return keyed, written(keyed.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
+def text_key(text: bytes) -> str:
+    return hashlib.md5(text, usedforsecurity=False).hexdigest()
 
 
-def block_sets(row, wanted: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each wanted document of a block with its shingles, once."""
-    ids, present, starts, data = unpacked(row)
+def text_nodes(blocks: DataFrame) -> DataFrame:
+    """(block, key, node): each distinct text's number, and a block that holds it."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                _, _, starts, data = unpacked(r)
+                yield pd.DataFrame({"block": r.block, "key": list({text_key(data[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)})})
+
+    keys = blocks.mapInPandas(listed, "block string, key string").groupBy("key").agg(F.min("block").alias("block"))
+    return written(keys.select("block", "key", F.monotonically_increasing_id().alias("node")))
+
+
+def block_sets(row, wanted: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each wanted text of a block with its shingles, once, under its node. wanted: node by key."""
+    _, _, starts, data = unpacked(row)
     known: dict[bytes, int] = {}
-    done: set[int] = set()
-    for i, doc in enumerate(ids.tolist()):
-        if present[i] and doc in wanted and doc not in done:
-            done.add(doc)
-            yield doc, shingles(data[starts[i] : starts[i + 1]], known)
+    left = dict(wanted)
+    for i, j in zip(starts[:-1], starts[1:], strict=True):
+        node = left.pop(text_key(data[i:j]), None)
+        if node is not None:
+            yield node, shingles(data[i:j], known)
 
 
-def counted(blocks: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
+def counted(blocks: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """Rows (block, bucket, answer): in how many documents (255 at most) each distinct shingle of a block occurs."""
 
     def ask(key, own: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         names = ["block", "bucket", "shingle", "n"]
         if own.empty or chosen.empty:
             return pd.DataFrame(columns=names)
-        sets = [s for _, s in block_sets(next(own.itertuples()), set(chosen["rep"]))]
+        sets = [s for _, s in block_sets(next(own.itertuples()), dict(zip(chosen["key"], chosen["node"], strict=True)))]
         h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, "u8"), np.zeros(0))
         _, start = by_bucket(h, buckets)
         n = np.minimum(n, 255).astype("u1")
@@ -132,18 +147,19 @@ def counted(blocks: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
         total = np.minimum(np.bincount(inverse, n), 255).astype("u1")[inverse]
         return pd.DataFrame({"block": rows["block"], "bucket": key[0], "answer": [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]})
 
-    asked = blocks.groupBy("block").cogroup(reps.groupBy("block")).applyInPandas(ask, "block string, bucket int, shingle binary, n binary")
+    asked = blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInPandas(ask, "block string, bucket int, shingle binary, n binary")
     return asked.groupBy("bucket").applyInPandas(answer, "block string, bucket int, answer binary")
 
 
-def survivors(blocks: DataFrame, reps: DataFrame, counts: DataFrame) -> DataFrame:
+def survivors(blocks: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (id, n, prefix, hashes, bits): every distinct text's set size; the rest for those that may have a link."""
 
     def run(key, own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "n", "prefix", "hashes", "bits"]
         if own.empty or rest.empty:
             return pd.DataFrame(columns=names)
-        sets = list(block_sets(next(own.itertuples()), set(rest["rep"].dropna().astype("int64"))))
+        mine = rest[rest["key"].notna()]
+        sets = list(block_sets(next(own.itertuples()), {k: int(n) for k, n in zip(mine["key"], mine["node"], strict=True)}))
         if not sets:
             return pd.DataFrame(columns=names)
         parts = rest[rest["answer"].notna()].sort_values("bucket")["answer"]
@@ -163,8 +179,10 @@ def survivors(blocks: DataFrame, reps: DataFrame, counts: DataFrame) -> DataFram
             rows.append(row)
         return pd.DataFrame(rows, columns=names)
 
-    rest = reps.select("block", "rep", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"))
-    rest = rest.unionByName(counts.withColumn("rep", F.lit(None).cast("long")).select("block", "rep", "bucket", "answer"))
+    # node travels as text: beside the nulls of the answers, a number would become a float
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = nodes.select("block", "key", F.col("node").cast("string").alias("node"), none("int").alias("bucket"), none("binary").alias("answer"))
+    rest = rest.unionByName(counts.select("block", none("string").alias("key"), none("string").alias("node"), "bucket", "answer"))
     schema = "id long, n long, prefix array<long>, hashes binary, bits binary"
     return blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInPandas(run, schema)
 
@@ -207,7 +225,7 @@ def star_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, seed: int)
     return rated.groupBy("id").agg(F.min_by("pivot", F.struct("gap", "pivot")).alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """All pairs of different components within a group whose sizes and bitmaps allow a link."""
     labelled = postings.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -216,14 +234,26 @@ def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
     # ranks by size within a group come from counts by size, so that no task sorts a whole group
     by_size = rows.groupBy("shingle", "n").agg(F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("minor"), F.count(F.lit(1)).alias("all"))
     below = Window.partitionBy("shingle").orderBy("n")
-    by_size = by_size.select("shingle", "n", (F.sum("minor").over(below) / TILE[0]).cast("int").alias("minor_tile"), (F.sum("all").over(below) / TILE[1]).cast("int").alias("all_tile"))
-    tops = by_size.groupBy("shingle").agg(F.max("minor_tile").alias("minor_tiles"), F.max("all_tile").alias("all_tiles"))
-    placed = rows.join(by_size, ["shingle", "n"]).join(tops, "shingle")
+
+    def spread(count: str, most: int) -> DataFrame:
+        """shingle, n, tile, parts: the first tile of a size, and over how many tiles it is dealt."""
+        start = F.floor((F.sum(count).over(below) - F.col(count)) / most).cast("int")
+        return by_size.select("shingle", "n", start.alias("tile"), F.greatest(F.lit(1), F.ceil(F.col(count) / most)).cast("int").alias("parts"), F.col(count).alias("_k")).where("_k > 0").drop("_k")
+
+    def bands(sizes: DataFrame) -> DataFrame:
+        each = sizes.select("shingle", "n", F.explode(F.sequence("tile", F.col("tile") + F.col("parts") - 1)).alias("tile"))
+        return each.groupBy("shingle", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+    def placed(of: DataFrame, sizes: DataFrame) -> DataFrame:
+        return of.join(sizes, ["shingle", "n"]).withColumn("tile", F.col("tile") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    minor_sizes, all_sizes = spread("minor", TILE[0]), spread("all", TILE[1])
+    x, y = (bands(sizes).select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("tile", "lo", "hi")]) for sizes, side in ((minor_sizes, "x"), (all_sizes, "y")))
+    met = x.join(y, "shingle").where(f"ylo * {SHARE[0]} <= xhi * {SHARE[1]} AND xlo * {SHARE[0]} <= yhi * {SHARE[1]}").select("shingle", F.col("xtile").alias("x"), F.col("ytile").alias("y"))
     base = ["id", "n", "comp", "bits", "shingle"]
-    minor = placed.where("comp <> main").select(*base, F.col("minor_tile").alias("x"), F.explode(F.sequence(F.lit(0), "all_tiles")).alias("y"), F.lit(True).alias("left"))
-    every = placed.select(*base, F.explode(F.sequence(F.lit(0), "minor_tiles")).alias("x"), F.col("all_tile").alias("y"), F.lit(False).alias("left"))
+    side = lambda of, sizes, name: placed(of, sizes).withColumnRenamed("tile", name).join(met, ["shingle", name]).select(*base, "x", "y", F.lit(name == "x").alias("left"))
     # tiles are dealt to buckets: small groups share one, and a large group's tiles go to many
-    dealt = minor.unionByName(every).withColumn("bucket", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(512)).cast("int"))
+    dealt = side(rows.where("comp <> main"), minor_sizes, "x").unionByName(side(rows, all_sizes, "y")).withColumn("bucket", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(buckets)).cast("int"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -303,48 +333,50 @@ def link_counts(comp: DataFrame, sets: DataFrame, weights: DataFrame, buckets: i
     return dealt.groupBy("bucket").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE) -> DataFrame:
+def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE, mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     count: also n_links, the number of other documents (doc_ids) that a document is linked with; null without a doc_id.
+    mark: also text_md5, and is_first for the one document (doc_id and text) of each component that can stand for it:
+    the smallest doc_id; of its texts in the component the one with the smallest md5. Texts without words are all first.
     """
-    keyed, reps = distinct_texts(docs)
-    blocks = written(packed_texts(docs.where("doc_id IS NOT NULL"), block_bytes))
+    spark = docs.sparkSession
+    keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key")))
+    blocks = written(packed_texts(docs, block_bytes))
     n = blocks.count()
-    buckets = min(4096, max(16, n))
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                yield pd.DataFrame({"block": r.block, "rep": np.unique(np.frombuffer(r.ids, "<i8"))})
-
-    where = blocks.select("block", "ids").mapInPandas(listed, "block string, rep long")
-    # repeated rows of an id may lie in several blocks: one of them speaks for it
-    where = written(where.join(reps.select("rep"), "rep").groupBy("rep").agg(F.min("block").alias("block")))
-    counts = written(counted(blocks, where, buckets))
-    sets = written(survivors(blocks, where, counts))
+    buckets = bucket_count(n)
+    nodes = text_nodes(blocks)
+    counts = written(counted(blocks, nodes, buckets))
+    discard(spark)
+    sets = written(survivors(blocks, nodes, counts))
+    discard(spark, blocks, counts)
     open_ = sets.where("prefix IS NOT NULL")
     postings = open_.select("id", F.explode("prefix").alias("shingle"))
     often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
     postings = written(postings.join(often, "shingle"))
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    comp = docs.sparkSession.createDataFrame([], "id long, comp long")
+    links = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "id long, comp long")
     for step in range(stars + 1):
-        pairs = star_pairs(postings, comp, open_, step) if step < stars else tile_pairs(postings, comp, open_)
+        pairs = star_pairs(postings, comp, open_, step) if step < stars else tile_pairs(postings, comp, open_, max(256, buckets))
         found = written(verified(pairs, open_))
         links = links.unionByName(found)
         comp = components(links)
-    named = reps.join(sets.select(F.col("id").alias("rep"), "n"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    extra = []
+    # a text's rows, and the smallest doc_id of all rows of its component
+    texts = nodes.select("key", F.col("node").alias("id")).join(sets.select("id", "n"), "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("_rows")).groupBy("key").agg(F.min("doc_id").alias("_least"), F.count("doc_id").alias("_ids"))
+    texts = written(texts.join(rows, "key"))
+    least = texts.groupBy("comp").agg(F.min("_least").alias("_comp"), F.min_by("key", F.struct(F.col("_least").isNull(), "_least", "key")).alias("_first"))
+    named, extra = texts.join(least, "comp"), []
     if count:
-        alike = written(keyed.where("doc_id IS NOT NULL").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_w")))
-        weights = reps.join(alike, "key").groupBy(F.col("rep").alias("id")).agg(F.max("_w").alias("w"))
-        others = written(link_counts(comp, open_, weights, max(256, buckets), link_tile))
-        named = named.join(alike, "key").join(others.withColumnRenamed("id", "rep"), "rep", "left")
-        extra = [(F.coalesce("links", F.lit(0)) + F.col("_w") - 1).alias("_links")]
-    named = named.select("key", F.coalesce("n", F.lit(0)).cast("long").alias("_n"), F.coalesce("comp", "rep").alias("_comp"), *extra)
+        others = written(link_counts(comp, open_, texts.select("id", F.col("_ids").alias("w")), max(256, buckets), link_tile))
+        named = named.join(others, "id", "left").withColumn("_links", F.coalesce("links", F.lit(0)) + F.col("_ids") - 1)
+        extra = ["_links"]
+    named = named.select("key", F.col("n").alias("_n"), "_comp", "_first", *extra)
     # a text without words links with nothing, not even its copies
     out = keyed.join(named, "key", "left").withColumn("n_shingles", F.coalesce("_n", F.lit(0)).cast("long"))
     if count:
         extra = [F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_links")).otherwise(0)).cast("long").alias("n_links")]
+    if mark:
+        first = (F.col("n_shingles") == 0) | ((F.col("key") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_comp")))
+        extra = [*extra, F.col("key").alias("text_md5"), first.alias("is_first")]
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
