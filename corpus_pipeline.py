@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 next stage's docs. All stages but the last return the columns of documents.
 
 Edge cases: nulls, empty texts, repeated rows and empty tables pass as the operators define it. Rows without doc_id
-are judged by their text in the first stage and, as no document can be named for them, each is its own group in the
-second. n_chars is brought up to date where a stage changes the text.
+are judged by their text; in a group of near copies they stay only if no row has an id. n_chars is brought up to date
+where a stage changes the text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table, written
+from tidemark.llm._shared import discard_since, scratch_mark, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can't express the passages' removal or the encoding; tests compare the stages with brute force.
@@ -30,13 +30,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays: the one with the smallest id, once."""
+    """Of each group of near copies one document stays: the one with the smallest id, once.
+
+    A document is a doc_id with a text; rows that repeat both are one.
+    """
     from tidemark.llm.near_copies import linked
 
-    own = docs.select(*COLUMNS)
-    first = linked(own).where("doc_id = component_id").select("doc_id").distinct()
-    kept = own.join(first, "doc_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(own.where("doc_id IS NULL")).select(*COLUMNS)
+    own = docs.select(*COLUMNS).withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    first = linked(own, mark=True).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_key")).distinct()
+    kept = own.join(first, (own["_key"] == first["_key"]) & own["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +69,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tidemark.llm.pieces import encoded
     from tidemark.llm.queries import tokenizer
 
-    return encoded(docs, tokenizer(), keep_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return encoded(docs, tokenizer(), keep_ids=True)
 
 
 STAGES = [
@@ -82,5 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = written(stage(spark, docs, sf_dir))
+        discard_since(spark, mark, docs)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
