@@ -71,6 +71,32 @@ def test_top_products(spark):
     assert top_products(vectors.where("vec_id = 50")).count() == 0
 
 
+def test_top_products_of_large_numbers(spark):
+    """Products over 2^53 stay exact integers; those beyond a long are given as the nearest one."""
+    rows = [(0, [2.0**22, 1.0, 3.0]), (50, [1.0, 2.0**21, 0.0]), (1, [2.0**22, 2.0**-8, 2.0**-8]), (2, [2.0**22, 0.0, 2.0**-7]), (3, [-(2.0**22), 0.5, 0.0]), (2**53 + 1, [2.0**22, 0.0, 2.0**-7])]
+    schema = "vec_id long, embedding array<double>, _l int, part int, block int"
+    frame = lambda rs: spark.createDataFrame([(*r, 1, 1, 1) for r in rs], schema)
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(ints[i], w)), j) for j, w in ints.items() if j != i)[:5]
+        want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(scored)]
+    for tile_rows in (2, 2048):
+        assert sorted(map(tuple, top_products(frame(rows), tile_rows=tile_rows, first=1).collect())) == want
+    top = 2**63 - 1
+    got = top_products(frame([(0, [1e18, 0.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0])])).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, top), (0, 2, 2, -top)]
+
+
+def test_top_products_prunes_groups(spark):
+    """Short vectors can't reach what the longest give; the rows are the same whatever is left out."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6).astype("f4") * (4.0 if i % 40 == 3 else 0.1)]) for i in range(1200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_products(vectors, tile_rows=16, query_rows=4, first=2).collect())
+    assert got == brute_top(rows)
+
+
 def test_top_products_with_repeated_rows(spark, tmp_path):
     import duckdb
 
