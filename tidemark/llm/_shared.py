@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,13 +59,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more, and lets Spark drop the shuffle files of written ones.
 
-    Spark drops a shuffle's files once the driver's JVM has collected its plan; that is asked for here.
+    Spark drops a shuffle's files once the driver's JVM has collected its plan; that is asked for here, twice, as the
+    events of the last query hold on to its plan until the listeners have seen them.
     """
     for table in tables:
         _delete(spark, table.scratch_path)
         _written.remove(table.scratch_path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def scratch_mark() -> int:
