@@ -438,7 +438,8 @@ def trained(blocks: DataFrame, leaves: Leaves, rate: float) -> Network:
 
         schema = "group long, weight double, params binary"
         slim = blocks.where(chosen).select("number", "lengths", "held", "leaf", F.floor(number / span).alias("group"))
-        sums = slim.repartition(groups, "group").groupBy("group").applyInPandas(fit, schema)
+        # by ranges, as hashes would put several groups into one task
+        sums = slim.repartitionByRange(groups, "group").groupBy("group").applyInPandas(fit, schema)
         while groups > SUMMED:
             groups = -(-groups // SUMMED)
             sums = sums.groupBy(F.floor(F.col("group") / SUMMED).alias("key")).applyInPandas(add, schema)
