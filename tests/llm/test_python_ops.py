@@ -1,5 +1,9 @@
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +12,7 @@ import sentencepiece
 from tidemark.llm import chat
 from tidemark.llm.pieces import PieceEncoder, encoded
 from tidemark.llm.topk import top_products
+from tidemark.llm import toxicity
 from tidemark.llm.toxicity import label_model, score_documents
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -177,3 +182,62 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert score_documents(no_docs, labels).count() == 0
     assert {r.score for r in score_documents(odd_docs, labels.limit(0)).collect()} == {0.0}
+
+
+def plain_features(text):
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    out = set(words)
+    for n in (4, 5, 6, 7):
+        for stem, k in Counter(w[:n] for w in words if len(w) >= n).items():
+            out.add(stem + "-")
+            if k >= 2:
+                out.add(stem + "-2")
+            if k >= 3:
+                out.add(stem + "-3")
+            if k >= 2 and 100 * k >= len(words):
+                out.add(stem + "-%")
+    return out
+
+
+def plain_scores(rows, labels):
+    """Training and scoring in loops over (doc_id, text) rows; the two fits are the library's."""
+    known = {}
+    for i, _, toxic in labels:
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(known.get(i, 0), toxic)
+    train = sorted([(i, t, known[i]) for i, t in rows if i in known], key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[1] or ""))
+    found = [plain_features(t) for _, t, _ in train]
+    n1, n0 = sum(y == 1 for *_, y in train), sum(y != 1 for *_, y in train)
+    gains = []
+    for f in sorted(set().union(*found)):
+        a, b = sum(f in x and r[2] == 1 for x, r in zip(found, train)), sum(f in x and r[2] != 1 for x, r in zip(found, train))
+        if a + b >= 3 and a * n0 > 4 * b * n1:
+            p = (a + b) / (n1 + n0)
+            gains.append((-sum(x * math.log(x / q) for x, q in ((a, p * n1), (b, p * n0)) if x), f))
+    chosen = [f for _, f in sorted(gains)[:2048]]
+    v = np.array([toxicity.votes(t, x, chosen[:256]) for x, (_, t, _) in zip(found, train)])
+    gold = np.array([y == 1 for *_, y in train], float)
+    posterior = label_model(v, np.where(v.any(1), 0.25 + 0.5 * gold, 0.02))
+    pairs = [(i, j) for i, x in enumerate(found) for j, f in enumerate(chosen) if f in x]
+    w, bias = toxicity.logistic(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]), posterior, len(chosen))
+    return sorted(((i, 1 / (1 + math.exp(-(bias + sum(w[j] for j, f in enumerate(chosen) if f in plain_features(t)))))) for i, t in rows), key=repr)
+
+
+def test_toxicity_against_plain_loops(spark):
+    rng = random.Random(6)
+    usual, harsh = [f"{a}{b}" for a in ("wind", "stone", "paper", "tre") for b in ("ow", "mill", "s", "ing", "e")], "idiot dummkopf vermin hate you scumbags scumbag".split()
+    rows, labels = [], []
+    for i in range(160):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rng.choice(harsh if toxic and rng.random() < 0.3 else usual) for _ in range(rng.randint(1, 60)))))
+        labels.append((i, 1, int(toxic)))
+    rows += [(2**53 + 1, "you idiot"), (2**53 + 3, None), (None, "idiot windmill"), (3, rows[0][1]), (4, rows[4][1]), (None, None)]
+    labels += [(2**53 + 1, 0, 1), (5, 1, 0), (None, 1, 1), (6, 1, None)]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, toxic int, place string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted(((r.doc_id, r.score) for r in score_documents(docs, known).collect()), key=repr)
+    want = plain_scores(rows, labels)
+    assert sorted(repr(i) for i, _ in got) == sorted(repr(i) for i, _ in want)
+    by = lambda some: sorted((repr(i), x) for i, x in some)
+    assert np.allclose([x for _, x in by(got)], [x for _, x in by(want)], atol=1e-6)
+    assert len({round(x, 3) for _, x in got}) > 5

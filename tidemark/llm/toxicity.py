@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters look at a text's words: a fixed lexicon of insults, two patterns, and lexicons induced from the training
+Voters look at a text's words: fixed lexicons of insults in four languages, of contempt, threats and courtesy, patterns
+(shouting, attacks on a person, repeated marks, commands to go away, numbers), and lexicons induced from the training
 labels (whole words, and stems of 4 to 7 characters seen once, twice, three times, or twice and in one of a hundred
-words, that stand out in toxic documents). A voter says toxic (1) or nothing (0). A generative label model holds, for each class, each voter's firing rate (its accuracy)
+words, that stand out in toxic documents). A voter fires (1) or abstains (0); some fire for toxic, some for clean texts.
+A generative label model holds, for each class, each voter's firing rate (its accuracy, whichever class it speaks for)
 and a common covariance of the votes (their correlations), estimated by expectation maximization on the votes
 alone once the induced lexicons are chosen; correlated voters thereby share their weight. Its posteriors are the
 soft labels on which a logistic regression over the presence of words and stems is trained; that linear classifier scores.
 
 The label model and the classifier are fitted on a bounded sample of labelled rows: `most_rows` of the training
-labels, those with the smallest md5 of the id (rows that repeat the last id come along). Word statistics that choose the lexicons cover all training labels.
+labels, those with the smallest md5 of the id (of rows that repeat the last id, those with the smallest md5 of the text). Word statistics that choose the lexicons cover all training labels.
 
 Edge cases: null and empty texts get the intercept's score; labels that are null are left out, and repeated labels
 of a document count once (the largest); without any training label of both classes every score is 0; repeated
@@ -23,13 +25,26 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
 
-# Common English insults.
-INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns dumb fool fools imbecile garbage filth vermin".split())
+# Words of the fixed voters.
+LEXICONS = {
+    "insults": "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns dumb fool fools imbecile garbage filth vermin",
+    "insults de": "idiot idioten dumm dummkopf trottel abschaum versager widerlich ekelhaft müll dreck",
+    "insults fr": "idiot idiots imbécile imbéciles stupide crétin crétins ordure minable pathétique dégoûtant",
+    "insults es": "idiota idiotas imbécil imbéciles estúpido estúpida basura escoria patético asqueroso",
+    "contempt": "hate despise detest ridiculous useless shame ashamed hasse verachte déteste méprise odio desprecio",
+    "threats": "kill die hurt destroy punish burn töten sterben tuer mourir matar morir",
+    "courtesy": "please thanks thank welcome sorry bitte danke merci pardon gracias favor",
+}
+LEXICONS = {name: frozenset(words.split()) for name, words in LEXICONS.items()}
+PERSON = frozenset("you your yours yourself du dein ihr toi vous votre tu usted".split())
+AWAY = re.compile(r"\b(?:shut up|go away|get out|get lost|halt den mund|verschwinde|ferme[- ]la|dégage|cállate|lárgate)\b", re.IGNORECASE)
+MARKS = re.compile(r"[!?]{2,}")
 STEMS = (4, 5, 6, 7)
 TOKEN = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -76,15 +91,21 @@ def evidence(counts: DataFrame, n_toxic: int, n_clean: int, most: int, least_doc
     return [r.feature for r in rows.orderBy(F.col("gain").desc(), "feature").limit(most).collect()]
 
 
+PATTERNS = ("shouting", "attack on a person", "repeated marks", "sent away", "numbers")
+
+
 def vote_names(induced: list[str]) -> list[str]:
-    return ["insults", "shouting", "second person", *induced]
+    return [*LEXICONS, *PATTERNS, *induced]
 
 
 def votes(text: str | None, found: set[str], induced: list[str]) -> list[float]:
+    """1 for each voter that fires, in the order of vote_names."""
     text = text or ""
     capitals, letters = sum(map(str.isupper, text)), sum(map(str.isalpha, text))
-    fixed = [bool(found & INSULTS), text.count("!") >= 3 and capitals * 2 > letters, "you" in found and bool(found & INSULTS)]
-    return [float(x) for x in fixed] + [float(f in found) for f in induced]
+    listed = [not found.isdisjoint(words) for words in LEXICONS.values()]
+    attack = not found.isdisjoint(PERSON) and any(listed[:5])  # insults or contempt, of a person spoken to
+    patterns = [text.count("!") >= 3 and capitals * 2 > letters, attack, bool(MARKS.search(text)), bool(AWAY.search(text)), sum(map(str.isdigit, text)) * 20 > len(text)]
+    return [float(x) for x in (*listed, *patterns)] + [float(f in found) for f in induced]
 
 
 def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -148,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 3, most_rows: int = 20
             yield pd.DataFrame({"toxic": batch["toxic"], "votes": [np.array(votes(t, f, induced), "u1").tobytes() for t, f in zip(batch["text"], found, strict=True)], "columns": [sorted(at[x] for x in f if x in at) for f in found]})
 
     place = F.md5(F.col("doc_id").cast("string"))
-    first = seen.select(place.alias("place")).orderBy("place").limit(most_rows).agg(F.max("place")).first()[0]
-    sample = seen.where(place <= first).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
+    last, n_last = seen.select(place.alias("place")).orderBy("place").limit(most_rows).groupBy("place").count().orderBy(F.col("place").desc()).first()
+    at_last = seen.where(place == last).orderBy(F.md5("text")).limit(n_last)
+    sample = seen.where(place < last).unionByName(at_last).mapInPandas(narrow, "toxic int, votes binary, columns array<int>").toPandas()
     v = np.frombuffer(b"".join(sample["votes"]), "u1").reshape(len(sample), -1).astype(float)
     gold = (sample["toxic"].to_numpy() == 1).astype(float)
     # accuracies start from the labels; from there on the votes alone decide
@@ -165,7 +187,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 3) -> DataFr
     model = train(docs, labels, fold)
     weights, bias = model or ({}, -np.inf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         watched = {f.rstrip("23%") if "-" in f else f for f in weights}
         known: dict[str, tuple[str, ...]] = {}
 
@@ -180,10 +202,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 3) -> DataFr
 
         for batch in batches:
             scores = []
-            for text in batch["text"]:
+            for text in batch.column(1).to_pylist():
                 z = bias + sum(weights.get(f, 0.0) for f in sorted(features(text, of)))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if model else 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
