@@ -9,21 +9,27 @@ table of nodes in exact integers.
 
 A leaf with budget b and t tokens takes floor(b / t) whole epochs and then a token-prefix of the next. The order
 within epoch e is that of md5(seed:e:doc_id), so it is stable and differs from epoch to epoch. Running sums over
-a leaf are taken over hash buckets first and rows within a bucket next, so that no task holds a whole leaf.
+a leaf are taken over hash buckets first and rows within a bucket next, so that no task holds a whole leaf; the buckets
+grow in number with the largest leaf.
 
 Edge cases: null domain, language or source is its own child ('' sorts first); a text without words has no
-tokens: it takes part in whole epochs alone; repeated rows are separate rows; an empty table gives no rows.
+tokens: it takes part in whole epochs alone; rows without doc_id follow all others in their leaf, in the order of
+md5(seed:e:md5(text)); rows of one doc_id follow each other by tokens, then by the md5 of the text; repeated rows are
+separate rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WORD, written
 
 LEVELS = ("domain", "lang", "source")
-BIG = "decimal(38,0)"
+#: Rows of a leaf that share a bucket, on average at most.
+BUCKET_ROWS = 20_000
 
 
 def domain_of(source: Column) -> Column:
@@ -40,10 +46,9 @@ def share(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """
     order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), F.col(name))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy(*parent)
     left = F.col("parent_budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    marked = children.withColumn("_left", left).withColumn("_rest", F.sum("weight").over(rest))
+    marked = children.withColumn("_left", left).withColumn("_rest", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     marked = marked.withColumn("_full", (F.col("_left").cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)")) >= (F.col("cap").cast("decimal(20,0)") * F.col("_rest").cast("decimal(18,0)")))
     taken = F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(whole), F.lit(0))
     open_weight = F.coalesce(F.sum(F.when(~F.col("_full"), F.col("weight"))).over(whole), F.lit(1))
@@ -80,20 +85,28 @@ def mix(docs: DataFrame, weights: dict[tuple[str, str], int], share_of_supply: t
     """
     count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     none = F.lit("")
-    slim = docs.select("doc_id", F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), count.alias("n_tokens"), *[F.col(c).alias(f"_keep_{c}") for c in keep or []])
+    # the text tells rows apart that share an id and their number of tokens; without other columns such rows are alike
+    text_md5 = F.md5(F.coalesce("text", none))
+    text_md5 = text_md5 if keep else F.when(F.col("doc_id").isNull(), text_md5).otherwise(none)
+    slim = docs.select("doc_id", F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), count.alias("n_tokens"), text_md5.alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep or []])
     slim = written(slim.withColumn("domain", domain_of(F.col("source"))))
-    leaves = written(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
-    supply = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    leaves = written(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows")))
+    supply, rows = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    leaves = leaves.drop("_rows")
+    digits = max(2, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
     total = F.lit(supply * share_of_supply[0] // share_of_supply[1]).cast("long")
     planned = budgets(leaves, total, weights, max_epochs)
     planned = planned.select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("_whole"))
     planned = written(planned)
     placed = slim.join(planned, list(LEVELS)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.col("_whole"), F.lit(max_epochs - 1)).cast("int"))))
-    placed = placed.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string")))).withColumn("_bucket", F.substring("_order", 1, 3))
+    hashed = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), x))
+    own = F.col("doc_id").cast("string")
+    placed = placed.withColumn("_order", F.when(own.isNotNull(), hashed(own)).otherwise(F.concat(F.lit("~"), hashed(F.col("_text")))))  # ~ is after all digits
+    placed = placed.withColumn("_bucket", F.substr("_order", F.lit(1), F.lit(digits) + own.isNull().cast("int")))
     leaf = [*LEVELS, "epoch"]
     ahead = placed.groupBy(*leaf, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     ahead = ahead.withColumn("_ahead", F.sum("_sum").over(Window.partitionBy(*leaf).orderBy("_bucket")) - F.col("_sum")).drop("_sum")
-    run = Window.partitionBy(*leaf, "_bucket").orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*leaf, "_bucket").orderBy("_order", "doc_id", "n_tokens", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = placed.withColumn("_within", F.sum("n_tokens").over(run) - F.col("n_tokens")).join(ahead, [*leaf, "_bucket"])
     room = F.col("leaf_budget") - F.col("leaf_tokens") * F.col("epoch") - F.col("_ahead") - F.col("_within")
     taken = F.when(F.col("epoch") < F.col("_whole"), F.col("n_tokens")).otherwise(F.least(F.col("n_tokens"), room))
