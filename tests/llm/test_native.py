@@ -1,10 +1,12 @@
+import heapq
+import random
 import re
 import zlib
 from collections import Counter
 
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import judge
-from tidemark.llm.sharding import lpt, shard_documents
+from tidemark.llm.sharding import shard_documents, taken
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,8 +54,52 @@ def test_quality_empty(no_docs):
     assert judge(no_docs, ["doc_id"]).count() == 0
 
 
-def test_lpt_is_greedy():
-    assert lpt([("a", 7), ("b", 6), ("c", 5), ("d", 4)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+def one_by_one(loads, size, count):
+    heap, n = [(x, i) for i, x in enumerate(loads)], [0] * len(loads)
+    heapq.heapify(heap)
+    for _ in range(count):
+        load, i = heapq.heappop(heap)
+        n[i] += 1
+        heapq.heappush(heap, (load + size, i))
+    return n
+
+
+def test_groups_of_one_size_at_once():
+    rng = random.Random(2)
+    for _ in range(400):
+        loads = [rng.randint(0, rng.choice([3, 1000])) for _ in range(rng.randint(1, 16))]
+        size, count = rng.randint(1, 40), rng.choice([0, 1, 5, 63, 64, 65, 400, 1000])
+        assert taken(loads, size, count) == one_by_one(loads, size, count)
+    assert sum(taken([0, 10**14, 5], 3, 10**13)) == 10**13
+
+
+def lpt(groups, shards):
+    """Loads of the shards, and how many groups of each size each of them gets, one group at a time."""
+    loads, got = [0] * shards, Counter()
+    for size in sorted(groups, reverse=True):
+        i = loads.index(min(loads))
+        loads[i] += size
+        got[size, i] += 1
+    return loads, got
+
+
+def test_shards_are_the_schedule(spark):
+    rng = random.Random(5)
+    texts = [f"{i} " + "x" * rng.choice([1, 7, 7, 7, 50, 400]) for i in range(300)] + ["hot text"] * 900 + [None, ""]
+    rows = [(rng.choice([i, 2**53 + 1 + i, 4, None]), t, "x", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, shard int")
+    size = Counter()
+    for t in texts:
+        size[t or ""] += len((t or "").encode()) + 1
+    loads, got = lpt(size.values(), 5)
+    for per_run in (3, 20_000):
+        out = shard_documents(docs, shards=5, rows_per_run=per_run).collect()
+        assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in out) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+        assert [sum(r.size for r in out if r.shard == s) for s in range(5)] == loads
+        by_crc = {zlib.crc32(t.encode()): n for t, n in size.items()}
+        assert Counter((by_crc[c], s) for c, s in {(r.text_crc32, r.shard) for r in out}) == got
+        for s in range(5):
+            assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
 def test_sharding(spark, odd_docs, no_docs):
@@ -106,6 +152,23 @@ def test_mixing_budgets(spark):
     assert max(seen.values()) == 1 and {r.epoch for r in got} <= {0, 1}
 
 
-def test_mixing_odd_rows(odd_docs, no_docs):
-    assert mix(odd_docs, {}).count() > 0
+def test_mixing_odd_rows(spark, odd_docs, no_docs):
+    """Every token of a leaf's budget is taken, in whole epochs and one prefix; null ids come last."""
+    rows = odd_docs.union(spark.createDataFrame([(None, f"no id {i} " * (1 + i % 4), "en", "src0", 1, "") for i in range(30)] + [(57, "other text of its own", "en", "src0", 1, "")], odd_docs.schema))
+    got = mix(rows, {}).collect()
+    taken_, whole = Counter(), Counter()
+    for r in got:
+        leaf = (r.domain, r.lang, r.source)
+        taken_[leaf] += r.taken_tokens
+        whole[leaf] = r.leaf_budget
+    assert taken_ == whole
+    partial = [r for r in got if 0 < r.taken_tokens < r.n_tokens]
+    assert len(partial) <= len(whole)
+    last = max(r.epoch for r in got if (r.lang, r.source) == ("en", "src0"))
+    here = [r for r in got if (r.lang, r.source, r.epoch) == ("en", "src0", last)]
+    if any(r.doc_id is None for r in here):  # then every row with an id is in
+        ids = [r.doc_id for r in rows.collect() if (r.lang, r.source) == ("en", "src0") and r.doc_id is not None and (r.text or "").split()]
+        assert not Counter(ids) - Counter(r.doc_id for r in here)
+    kept = lambda parts: sorted(map(tuple, mix(rows.repartition(parts), {}, (9, 10), 1, keep=["doc_id", "text"]).collect()), key=repr)
+    assert kept(1) == kept(5)
     assert mix(no_docs, {}).count() == 0

@@ -80,5 +80,23 @@ def _mixing(weights: dict[tuple[str, str], int]) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(CASE WHEN epoch < whole THEN n_tokens ELSE least(n_tokens, room) END AS BIGINT) AS taken_tokens, CAST(leaf_tokens AS BIGINT) AS leaf_tokens, CAST(leaf_budget AS BIGINT) AS leaf_budget FROM r WHERE epoch < whole OR least(n_tokens, room) > 0"
 
 
+def _sharding(shards: int = 16) -> str:
+    """Longest first, one group at a time; which of the groups of one size a shard gets goes by their rank."""
+    start = "[" + ", ".join(["0::HUGEINT"] * shards) + "]"
+    least = "list_position(loads, list_min(loads))"
+    table = "list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x))"
+    return f"""WITH RECURSIVE b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, md5(coalesce(text, '')) AS key FROM documents),
+ crc AS (SELECT key, xor(list_reduce(list_transform(regexp_extract_all(hex(t), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, k.k[xor(c & 255, x) + 1]), 4294967295), 4294967295) AS text_crc32
+   FROM (SELECT key, any_value(t) AS t FROM b GROUP BY key), (SELECT {table} AS k) k),
+ g AS (SELECT key, CAST(sum(octet_length(t) + 1) AS HUGEINT) AS s FROM b GROUP BY key),
+ o AS (SELECT *, row_number() OVER (ORDER BY s DESC, key) AS k, row_number() OVER (PARTITION BY s ORDER BY key) AS rank FROM g),
+ l AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS s, {start} AS loads, CAST(0 AS BIGINT) AS shard UNION ALL
+   SELECT o.k, o.s, list_transform(loads, lambda x, i: x + CASE WHEN i = {least} THEN o.s ELSE 0 END), {least} - 1 FROM l JOIN o ON o.k = l.k + 1),
+ w AS (SELECT s, shard, row_number() OVER (PARTITION BY s ORDER BY shard) AS rank FROM l WHERE k > 0)
+SELECT doc_id, octet_length(t) + 1 AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+ row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || key)) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+ FROM b JOIN crc USING (key) JOIN o USING (key) JOIN w USING (s, rank)"""
+
+
 def oracle_sql(mix_weights: dict[tuple[str, str], int]) -> dict[str, str]:
-    return {"op4_exact_topk": TOPK, "op5_chat_formatting": CHAT, "op6_quality_rules": QUALITY, "op10_mixing": _mixing(mix_weights)}
+    return {"op4_exact_topk": TOPK, "op5_chat_formatting": CHAT, "op6_quality_rules": QUALITY, "op9_sharding": _sharding(), "op10_mixing": _mixing(mix_weights)}
