@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Word and white-space classes of every contract here: ASCII space and \t \n \v \f \r part words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+ROW_GROUP_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,8 @@ def written(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_discard_rest, spark)
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    # a reader holds a row group's columns at once; rows here can be large, so groups are small
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -106,13 +108,14 @@ def bucket_count(blocks: int) -> int:
     return max(16, min(blocks, 4096), blocks // 16)
 
 
-def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) -> DataFrame:
-    """Texts in blocks of about block_bytes: rows (block, ids, present, lengths, texts, extra).
+def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None, keys: bool = False) -> DataFrame:
+    """Texts in blocks of about block_bytes: rows (block, ids, present, lengths, texts, extra, keys).
 
     ids and lengths (in UTF-8 bytes) are little-endian int64, texts is their zstd-compressed concatenation in the
-    order of the rows; present marks ids that are not null. carry: a string column kept as JSON in extra.
-    Write the result before use: a block is what one attempt of a task has packed.
+    order of the rows; present marks ids that are not null. carry: a string column kept as JSON in extra. keys: the
+    16-byte md5 digests of the texts. Write the result before use: a block is what one attempt of a task has packed.
     """
+    import hashlib
     import json
 
     import numpy as np
@@ -120,8 +123,8 @@ def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) ->
     import zstandard
     from pyspark import TaskContext
 
-    names = ["block", "ids", "present", "lengths", "texts", "extra"]
-    kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
+    names = ["block", "ids", "present", "lengths", "texts", "extra", "keys"]
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
 
     def run(batches):
         part, made, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
@@ -130,6 +133,7 @@ def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) ->
         def out():
             row = [f"{part}-{made}", np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids]).tobytes()]
             row += [np.array([len(t) for t in texts], "<i8").tobytes(), packer.compress(b"".join(texts)), json.dumps(extra) if carry else None]
+            row.append(b"".join(hashlib.md5(t, usedforsecurity=False).digest() for t in texts) if keys else None)
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
@@ -146,7 +150,7 @@ def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None) ->
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([carry] if carry else []))
-    return rows.mapInArrow(run, "block string, ids binary, present binary, lengths binary, texts binary, extra string")
+    return rows.mapInArrow(run, "block string, ids binary, present binary, lengths binary, texts binary, extra string, keys binary")
 
 
 def unpacked(row) -> tuple:

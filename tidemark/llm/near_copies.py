@@ -28,7 +28,6 @@ none of them has one. An empty table gives no rows; further columns are ignored;
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +57,7 @@ def shingles(text: bytes, known: dict[bytes, int]) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], "u8")
     for w in words:
         if w not in known:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             known[w] = xxhash.xxh3_64_intdigest(w)
     try:
@@ -96,30 +95,20 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_key(text: bytes) -> str:
-    return hashlib.md5(text, usedforsecurity=False).hexdigest()
-
-
 def text_nodes(blocks: DataFrame) -> DataFrame:
     """(block, key, node): each distinct text's number, and a block that holds it."""
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                _, _, starts, data = unpacked(r)
-                yield pd.DataFrame({"block": r.block, "key": list({text_key(data[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)})})
-
-    keys = blocks.mapInPandas(listed, "block string, key string").groupBy("key").agg(F.min("block").alias("block"))
+    each = F.transform(F.sequence(F.lit(0), (F.length("keys") / 16).cast("int") - 1), lambda i: F.substr("keys", i * 16 + 1, F.lit(16)))
+    keys = blocks.select("block", F.explode(each).alias("key")).groupBy("key").agg(F.min("block").alias("block"))
     return written(keys.select("block", "key", F.monotonically_increasing_id().alias("node")))
 
 
-def block_sets(row, wanted: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
+def block_sets(row, wanted: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
     """Each wanted text of a block with its shingles, once, under its node. wanted: node by key."""
     _, _, starts, data = unpacked(row)
     known: dict[bytes, int] = {}
     left = dict(wanted)
-    for i, j in zip(starts[:-1], starts[1:], strict=True):
-        node = left.pop(text_key(data[i:j]), None)
+    for k, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        node = left.pop(row.keys[16 * k : 16 * k + 16], None)
         if node is not None:
             yield node, shingles(data[i:j], known)
 
@@ -164,25 +153,31 @@ def survivors(blocks: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFra
             return pd.DataFrame(columns=names)
         parts = rest[rest["answer"].notna()].sort_values("bucket")["answer"]
         df = np.concatenate([np.frombuffer(x, "u1") for x in parts]) if len(parts) else np.zeros(0, "u1")
-        known = np.unique(np.concatenate([s for _, s in sets]))
+        # in how many documents each shingle of each set occurs: answers are in the order of the block's distinct ones
+        flat, sizes = np.concatenate([s for _, s in sets]), np.array([len(s) for _, s in sets])
+        order, starts = np.argsort(flat), np.cumsum(sizes) - sizes
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[order[1:]] != flat[order[:-1]]
+        often = np.empty(len(flat), "u1")
+        often[order] = df[np.cumsum(new) - 1]
+        alone = np.diff(np.concatenate([[0], np.cumsum(often == 1)])[np.append(starts, len(flat))])
         rows = []
-        for doc, s in sets:
+        for (doc, s), at, ones in zip(sets, starts.tolist(), alone.tolist(), strict=True):
             row = (doc, len(s), None, None, None)
-            if len(s):
-                often = df[np.searchsorted(known, s)]
-                open_ = prefix_length(len(s)) - int((often == 1).sum())
-                if open_ > 0:
-                    shared = s[often > 1]
-                    first = shared[np.lexsort((shared, often[often > 1]))[:open_]]
-                    if len(first):
-                        row = (doc, len(s), first.astype("i8"), s.astype("<u8").tobytes(), bitmap(s))
+            open_ = prefix_length(len(s)) - ones
+            if len(s) and open_ > 0:
+                own = often[at : at + len(s)]
+                shared = s[own > 1]
+                first = shared[np.lexsort((shared, own[own > 1]))[:open_]]
+                if len(first):
+                    row = (doc, len(s), first.astype("i8"), s.astype("<u8").tobytes(), bitmap(s))
             rows.append(row)
         return pd.DataFrame(rows, columns=names)
 
     # node travels as text: beside the nulls of the answers, a number would become a float
     none = lambda kind: F.lit(None).cast(kind)
     rest = nodes.select("block", "key", F.col("node").cast("string").alias("node"), none("int").alias("bucket"), none("binary").alias("answer"))
-    rest = rest.unionByName(counts.select("block", none("string").alias("key"), none("string").alias("node"), "bucket", "answer"))
+    rest = rest.unionByName(counts.select("block", none("binary").alias("key"), none("string").alias("node"), "bucket", "answer"))
     schema = "id long, n long, prefix array<long>, hashes binary, bits binary"
     return blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInPandas(run, schema)
 
@@ -341,8 +336,8 @@ def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count:
     the smallest doc_id; of its texts in the component the one with the smallest md5. Texts without words are all first.
     """
     spark = docs.sparkSession
-    keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key")))
-    blocks = written(packed_texts(docs, block_bytes))
+    keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")))
+    blocks = written(packed_texts(docs, block_bytes, keys=True))
     n = blocks.count()
     buckets = bucket_count(n)
     nodes = text_nodes(blocks)
@@ -378,5 +373,5 @@ def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count:
         extra = [F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_links")).otherwise(0)).cast("long").alias("n_links")]
     if mark:
         first = (F.col("n_shingles") == 0) | ((F.col("key") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_comp")))
-        extra = [*extra, F.col("key").alias("text_md5"), first.alias("is_first")]
+        extra = [*extra, F.lower(F.hex("key")).alias("text_md5"), first.alias("is_first")]
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
