@@ -9,12 +9,13 @@ Exact, in these steps; sets are sorted arrays of 64-bit shingle hashes.
    nothing, so a document with that many of them is done: only the others send the non-unique rest of their prefix.
 3. Documents that share such a shingle are candidates. A component needs no more than a spanning set of its links,
    so at first each document meets one pivot of its shingles' groups: the one whose parity bitmap (1024 bits, each
-   shingle flips one) differs least. Bits that differ bound the overlap from above:
+   shingle flips one) differs least. Each group draws a pivot; there are two such rounds. Bits that differ bound the overlap from above:
    |A n B| <= (|A| + |B| - differing bits) / 2. Pairs within the bound are verified by sorted-array intersection.
 4. What is left is exact for the rest: in each group, the documents outside the group's largest component are
    tiled, sorted by size, against all documents of the group, in tiles of bounded size. A size that many documents
    share is dealt over several tiles. Tiles meet only where their bands of sizes allow 0.8; of those, pairs of
-   different components whose sizes and bitmaps allow 0.8 are verified. No pair is cut off.
+   different components whose sizes and bitmaps allow 0.8 are verified: in a first pass the closest one of each
+   document, which joins most of what belongs together, and then all that are left. No pair is cut off.
 5. On demand, links are counted: they lie within components, so each component's distinct texts, sorted by size, meet
    in tiles of bounded bytes; all pairs whose sizes and bitmaps allow 0.8 are verified there, and each text counts as
    many times as there are documents with it. Only sums leave a tile.
@@ -199,10 +200,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_a", "_b").mapInPandas(run, "a long, b long")
 
 
+def closest(rated: DataFrame) -> DataFrame:
+    """(a, b): each id of rated(id, pivot, gap) with its pivot of the smallest gap."""
+    best = rated.groupBy("id").agg(F.min_by("pivot", F.struct("gap", "pivot")).alias("pivot"))
+    return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def star_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """For each document the most promising pivot among its shingles' groups, if bound and component allow a link."""
+    """For each document the most promising pivot among its shingles' groups, if bound and component allow a link.
+
+    Each group draws a pivot of its own, so that a document of many groups has many to choose from.
+    """
     labelled = postings.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    groups = labelled.groupBy("shingle").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(seed)) if seed else F.col("id")).alias("pivot"), F.count_distinct("comp").alias("comps"))
+    groups = labelled.groupBy("shingle").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("shingle", "id", F.lit(seed))).alias("pivot"), F.count_distinct("comp").alias("comps"))
     met = labelled.join(groups.where("comps > 1"), "shingle").where("comp <> pivot.comp").select("id", F.col("pivot.id").alias("pivot")).distinct()
     light = sets.select("id", "n", "bits")
     near = met.join(light, "id").join(light.withColumnsRenamed({"id": "pivot", "n": "m", "bits": "with"}), "pivot")
@@ -216,12 +226,14 @@ def star_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, seed: int)
                 fine = (n + m - gap >= 2 * needed(n, m)) & (np.minimum(n, m) >= needed(n, m))
                 yield batch.loc[fine, ["id", "pivot"]].assign(gap=gap[fine])
 
-    rated = near.mapInPandas(estimate, "id long, pivot long, gap long")
-    return rated.groupBy("id").agg(F.min_by("pivot", F.struct("gap", "pivot")).alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    return closest(near.mapInPandas(estimate, "id long, pivot long, gap long"))
+
 
+def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, buckets: int, nearest: bool = False) -> DataFrame:
+    """All pairs of different components within a group whose sizes and bitmaps allow a link.
 
-def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """All pairs of different components within a group whose sizes and bitmaps allow a link."""
+    nearest: of these, for each document outside its groups' largest components, the one whose bitmaps differ least.
+    """
     labelled = postings.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
     groups = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k")).where("comps > 1")
@@ -262,13 +274,23 @@ def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, buckets: i
                     q = b[j : j + TILE[1]]
                     need = needed(n[p][:, None], n[q][None, :])
                     fine = (comp[p][:, None] != comp[q][None, :]) & (np.minimum(n[p][:, None], n[q][None, :]) >= need)
-                    if fine.any():
-                        fine &= n[p][:, None] + n[q][None, :] - differing(words[p], words[q]) >= 2 * need
+                    if not fine.any():
+                        continue
+                    gap = differing(words[p], words[q])
+                    fine &= n[p][:, None] + n[q][None, :] - gap >= 2 * need
+                    if nearest:
+                        gap = np.where(fine, gap, BITS + 1)
+                        x, y = np.arange(len(p)), gap.argmin(1)
+                        some = gap[x, y] <= BITS
+                        out.append(np.stack([ids[p], ids[q[y]], gap[x, y]], 1)[some])
+                    else:
                         x, y = np.nonzero(fine)
-                        out.append(np.stack([np.minimum(ids[p[x]], ids[q[y]]), np.maximum(ids[p[x]], ids[q[y]])], 1))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), "i8"), columns=["a", "b"])
+                        out.append(np.stack([np.minimum(ids[p[x]], ids[q[y]]), np.maximum(ids[p[x]], ids[q[y]]), np.zeros(len(x), "i8")], 1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), "i8")
+        return pd.DataFrame(found, columns=["id", "pivot", "gap"])
 
-    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    found = dealt.groupBy("bucket").applyInPandas(run, "id long, pivot long, gap long")
+    return closest(found) if nearest else found.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
 def counted_links(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, own: bool) -> pd.DataFrame:
@@ -351,8 +373,8 @@ def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count:
     postings = written(postings.join(often, "shingle"))
     links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "id long, comp long")
-    for step in range(stars + 1):
-        pairs = star_pairs(postings, comp, open_, step) if step < stars else tile_pairs(postings, comp, open_, max(256, buckets))
+    for step in range(stars + 2):
+        pairs = star_pairs(postings, comp, open_, step) if step < stars else tile_pairs(postings, comp, open_, max(256, buckets), nearest=step == stars)
         found = written(verified(pairs, open_))
         links = links.unionByName(found)
         comp = components(links)
