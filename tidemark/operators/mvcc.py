@@ -38,9 +38,15 @@ def seek(entries: DataFrame, targets: list[str], at: int | None = None) -> DataF
     return firsts.select(F.inline(pairs))
 
 
-def following(entries: DataFrame, at: int | None = None) -> DataFrame:
-    """key and next_key among live keys."""
-    return snapshot(entries, at).select("key", F.lead("key").over(Window.orderBy("key")).alias("next_key"))
+def following(entries: DataFrame, at: int | None = None, prefix: int = 12) -> DataFrame:
+    """key and next_key among live keys.
+
+    Keys are put in order within those of one prefix (so many characters), and prefixes among each other; only these, one
+    row each, go through one task.
+    """
+    live = snapshot(entries, at).select("key", F.substring("key", 1, prefix).alias("_p"))
+    after = live.groupBy("_p").agg(F.min("key").alias("_first")).select("_p", F.lead("_first").over(Window.orderBy("_p")).alias("_after"))
+    return live.join(after, "_p").select("key", F.coalesce(F.lead("key").over(Window.partitionBy("_p").orderBy("key")), "_after").alias("next_key"))
 
 
 def versions(entries: DataFrame) -> DataFrame:
