@@ -186,6 +186,44 @@ def test_workload(spark):
     assert zipf["0"] > zipf["1"] > zipf["10"] and set(map(int, zipf)) <= set(range(50))
 
 
+def test_zipf_law(spark):
+    """Shares of the draws are those of (1 + k) ** -1.2, at every number of cells."""
+    rows_ = spark.range(40_000).select("id", workload.unit(3, F.col("id")).alias("u"))
+    for keyspace, cells in ((1, 4096), (7, 2), (256, 64)):
+        got = {r.k: r["count"] / 40_000 for r in workload.zipf_numbers(rows_, "u", "k", keyspace, cells=cells).groupBy("k").count().collect()}
+        weights = [(1 + k) ** -1.2 for k in range(keyspace)]
+        assert abs(sum(got.values()) - 1) < 1e-9
+        assert all(abs(got.get(k, 0) - w / sum(weights)) < 0.01 for k, w in enumerate(weights))
+
+
+def test_unknown_commands_and_store_rows(spark):
+    c = spark.createDataFrame([(1, "set", "a", "1", "c1", 1), (2, "move", "a", None, "c1", 2), (3, "delete", "zz", None, "c1", 10), (4, "set", "b", "2", "", 0), (5, "delete", "a", None, "c1", 1)], "idx long, op string, key string, value string, client_id string, request_id long")
+    stored = commands.store_rows(c)
+    assert {(r.namespace, r.id): r.value for r in stored.collect()} == {
+        (1, "a"): "1",
+        (1, "b"): "2",
+        (2, "c1"): '{"LastRequestID":10,"Results":{"1":{"Value":null,"Found":true,"Error":""},"10":{"Value":null,"Found":false,"Error":""},"2":{"Value":null,"Found":false,"Error":"unknown command type: move"}}}',
+    }
+    assert sorted(tuple(r) for r in commands.loaded_sessions(stored).collect()) == [("c1", 10, 1, True, ""), ("c1", 10, 2, False, "unknown command type: move"), ("c1", 10, 10, False, "")]
+    line = commands.snapshot_lines(c).where("part = 'session'").first().json
+    assert '"Error":"unknown command type: move"' in line
+
+
+def test_following_across_prefixes(spark):
+    keys = ["", "a", "ab", "abc", "abd", "b", "ba", "é", "éa", "z"]
+    e = spark.createDataFrame([(k, "v", i + 1, "put") for i, k in enumerate(keys)] + [("b", None, 99, "delete")], "key string, value string, seq long, kind string")
+    live = sorted((k for k in keys if k != "b"), key=str.encode)
+    for prefix in (1, 2, 12):
+        assert {r.key: r.next_key for r in mvcc.following(e, prefix=prefix).collect()} == dict(zip(live, [*live[1:], None]))
+
+
+def test_commands_of_either_form(spark):
+    rows_ = [('{"version":1,"command":{"Type":1,"Key":"k","Value":"dg==","ClientID":"c","RequestID":3}}',), ('{"version":3,"command":{}}',), ("nonsense",), (None,)]
+    got = spark.createDataFrame(rows_, "j string").select(codec.decode_any(F.col("j").cast("binary")).alias("c")).select("c.*").collect()
+    assert (got[0].type, bytes(got[0].key), bytes(got[0].value), got[0].client_id, got[0].request_id, got[0].error) == (1, b"k", b"v", "c", 3, "")
+    assert [(r.type, r.error) for r in got[1:]] == [(None, "unsupported command version: 3"), (None, "invalid JSON"), (None, "invalid JSON")]
+
+
 HISTORY = "client_id int, type string, key string, value string, call_ns long, return_ns long, out_value string, out_found boolean, err string"
 
 

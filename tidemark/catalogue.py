@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.codec import command_bytes, decode_command, encode_command
+from .functions.codec import command_bytes, decode_any, decode_command, encode_command, legacy_command
 from .operators import commands, faults, linearize, measure, mvcc, replog, report, storage, workload
 from .sources.oplog import SQL, operations, writes
 
@@ -163,6 +163,22 @@ def sm_snapshot_restore(spark, d):
     return lines.select(entry["key"].alias("key"), F.unbase64(entry["value"]).cast("string").alias("value"))
 
 
+_RESULT = """'"' || request_id || '":{"Value":null,"Found":' || CASE WHEN found THEN 'true' ELSE 'false' END || ',"Error":""}'"""
+
+
+@query(f"""WITH {APPLIED}, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS k FROM r WHERE rn = 1)
+  SELECT 1 AS namespace, key AS id, value FROM s WHERE k = 1 AND op = 'set' UNION ALL
+  SELECT 2, client_id, '{{"LastRequestID":' || max(request_id) || ',"Results":{{' || string_agg({_RESULT}, ',' ORDER BY CAST(request_id AS VARCHAR)) || '}}}}' FROM a GROUP BY client_id""")
+def lsm_store_rows(spark, d):
+    return commands.store_rows(mutations(spark, d))
+
+
+@query(f"WITH {APPLIED} SELECT client_id, max(request_id) OVER (PARTITION BY client_id) AS last_request_id, request_id, found, '' AS error FROM a")
+def lsm_sessions(spark, d):
+    """Sessions read back from the rows of the store."""
+    return commands.loaded_sessions(commands.store_rows(mutations(spark, d)))
+
+
 # ---- storage
 
 
@@ -231,7 +247,20 @@ def lsm_log_segments(spark, d):
     return storage.segments(entries_of(spark, d), "file_num", "seq", size, 8192)
 
 
-@query()
+_WORD = "18446744073709551616::UHUGEINT"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(key)), '..'), lambda x: CAST('0x' || x AS UHUGEINT))"
+_FIRST = f"list_reduce({_BYTES}, lambda h, b: (xor(h, b) * {storage.FNV_PRIME}::UHUGEINT) % {_WORD}, {storage.FNV_OFFSET}::UHUGEINT)"
+_SECOND = "h"
+for _factor in (storage.FINAL_1, storage.FINAL_2):
+    _SECOND = f"((xor({_SECOND}, {_SECOND} // 8589934592::UHUGEINT) * {_factor}::UHUGEINT) % {_WORD})"
+_SECOND = f"xor({_SECOND}, {_SECOND} // 8589934592::UHUGEINT)"
+_BITS, _HASHES = storage.filter_shape(1024)
+
+
+@query(f"""WITH {ENTRIES}, k AS (SELECT DISTINCT file_num, key FROM e), a(key) AS (VALUES {ASKED}), h AS (SELECT key, {_FIRST} AS h FROM (SELECT key FROM k UNION SELECT key FROM a)),
+  b AS (SELECT key, ((h + i::UHUGEINT * CASE WHEN s = 0 THEN {storage.NOT_ZERO}::UHUGEINT ELSE s END) % {_WORD}) % {_BITS} AS bit FROM (SELECT key, h, {_SECOND} AS s FROM h), range({_HASHES}) r(i)),
+  f AS (SELECT DISTINCT file_num, bit FROM k JOIN b USING (key)), t AS (SELECT f.file_num, a.key, count(*) AS n FROM a JOIN b USING (key) JOIN f USING (bit) GROUP BY ALL)
+  SELECT g.file_num, a.key, coalesce(t.n = {_HASHES}, false) AS may_contain, k.key IS NOT NULL AS contains FROM (SELECT DISTINCT file_num FROM k) g CROSS JOIN a LEFT JOIN t ON t.file_num = g.file_num AND t.key = a.key LEFT JOIN k ON k.file_num = g.file_num AND k.key = a.key""")
 def lsm_filter_probes(spark, d):
     """Bit-exact membership filters: for each file and asked key, whether its filter lets the key through."""
     import pandas as pd
@@ -319,6 +348,38 @@ def raft_up_to_date(spark, d):
     return last.crossJoin(own).select(F.col("node").alias("candidate"), "voter", replog.up_to_date(F.col("term"), F.col("idx"), F.col("own_term"), F.col("own_idx")).alias("grants"))  # members of one group
 
 
+def numbered(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"attempt long, {columns}")
+
+
+SNAPSHOTS = [(0, 0), (300, 1), (500, 1), (600, 1), (600, 9), (999_999_999, 1)]
+RECEIVED = [(0, 0, "s"), (550, 1, "s"), (600, 1, "s"), (600, 2, "s"), (600, 1, "t"), (700, 1, "u"), (999_999_999, 77, "v")]
+KEPT_SQL = SQL + ", l AS (SELECT idx, term FROM o WHERE idx >= 500), b AS (SELECT min(idx) AS lo, max(idx) AS hi FROM l)"
+
+
+@query(f"WITH {KEPT_SQL} SELECT CAST(a AS BIGINT) AS attempt, CASE WHEN f < lo THEN 'compacted' WHEN f > hi + 1 THEN 'conflict' ELSE '' END AS error FROM b, (VALUES (0, 100), (1, 499), (2, 500), (3, 750), (4, 999999999)) v(a, f)")
+def raft_append_errors(spark, d):
+    """Appends to a log that begins at 500."""
+    return replog.append_errors(replog.without_prefix(log_of(spark, d), 500), numbered(spark, [(100,), (499,), (500,), (750,), (999_999_999,)], "first long"))
+
+
+@query(f"WITH {KEPT_SQL}, v AS (SELECT * FROM (VALUES {', '.join(str((i, *s)) for i, s in enumerate(SNAPSHOTS))}) v(a, i, t)), x AS (SELECT v.*, lo, hi, CASE WHEN i = 0 THEN 'invalid' WHEN i < lo THEN 'compacted' WHEN i > hi THEN 'not found' WHEN term <> t THEN 'conflict' ELSE '' END AS error FROM v CROSS JOIN b LEFT JOIN l ON l.idx = i) SELECT CAST(a AS BIGINT) AS attempt, error, CAST(CASE WHEN error = '' THEN i ELSE lo END AS BIGINT) AS \"offset\", hi - CASE WHEN error = '' THEN i ELSE lo END + 1 AS kept FROM x")
+def raft_save_snapshot(spark, d):
+    return replog.saved_snapshots(replog.without_prefix(log_of(spark, d), 500), numbered(spark, SNAPSHOTS, "index long, term long"))
+
+
+@query(f"WITH {KEPT_SQL}, x AS (SELECT *, CASE WHEN i = 0 THEN 'invalid' WHEN i < 600 THEN 'compacted' WHEN i = 600 AND t = 1 AND s = 's' THEN 'unchanged' WHEN i = 600 THEN 'conflict' ELSE 'replaced' END AS outcome FROM b, (VALUES {', '.join(str((i, *s)) for i, s in enumerate(RECEIVED))}) v(a, i, t, s)) SELECT CAST(a AS BIGINT) AS attempt, outcome, CAST(CASE WHEN outcome = 'replaced' THEN i ELSE lo END AS BIGINT) AS \"offset\", CASE WHEN outcome = 'replaced' THEN 1 ELSE hi - lo + 1 END AS kept FROM x")
+def raft_apply_snapshot(spark, d):
+    return replog.applied_snapshots(replog.without_prefix(log_of(spark, d), 500), numbered(spark, RECEIVED, "index long, term long, data string"), (600, 1, "s"))
+
+
+@query(f"WITH {SQL} SELECT idx AS \"index\", CASE WHEN idx % 50 = 0 THEN 'proposal mismatch' ELSE '' END AS error FROM o")
+def raft_proposal_mismatch(spark, d):
+    log = log_of(spark, d)
+    proposals = log.select("index", F.when(F.col("index") % 50 == 0, F.concat("data", F.lit("!"))).otherwise(F.col("data")).alias("data"))
+    return replog.proposal_errors(proposals, log)
+
+
 VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
 
 
@@ -337,6 +398,19 @@ def raft_cmd_codec(spark, d):
     return back.select("idx", F.when(F.col("c.type") == 1, "set").otherwise("delete").alias("op"), text("key"), text("value"), "c.client_id", "c.request_id")
 
 
+@query(f"WITH {SQL} SELECT idx, CASE WHEN idx % 7 = 0 THEN 'unsupported command version: 2' ELSE '' END AS error, CASE WHEN idx % 7 > 0 THEN CASE op WHEN 'set' THEN 1 ELSE 2 END END AS type, CASE WHEN idx % 7 > 0 THEN key END AS key, CASE WHEN idx % 7 > 0 THEN value END AS value, CASE WHEN idx % 7 > 0 THEN client_id END AS client_id, CASE WHEN idx % 7 > 0 THEN request_id END AS request_id FROM o WHERE op <> 'get'")
+def raft_legacy_command(spark, d):
+    """Commands in the binary and in the older JSON form, some of them of a version that nobody reads, decoded again."""
+    m, parts = mutations(spark, d), ("op", "key", "value", "client_id", "request_id")
+    old = legacy_command(*map(F.col, parts)).cast("string")
+    old = F.when(F.col("idx") % 7 == 0, F.replace(old, F.lit('"version":1'), F.lit('"version":2'))).otherwise(old)
+    binary = (F.col("idx") % 2 == 0) & (F.col("idx") % 7 > 0)
+    coded = m.select("idx", F.when(binary, encode_command(*parts)).otherwise(old.cast("binary")).alias("payload"))
+    back = coded.select("idx", decode_any(F.col("payload")).alias("c"))
+    text = lambda n: F.col(f"c.{n}").cast("string").alias(n)
+    return back.select("idx", "c.error", "c.type", text("key"), text("value"), "c.client_id", "c.request_id")
+
+
 @query(f"WITH {SQL} SELECT idx // 64 AS batch, CAST(66 + 5 + count(*) * 21 + sum(octet_length(encode(value))) AS BIGINT) AS bytes FROM o GROUP BY 1")
 def raft_frame_bytes(spark, d):
     """Bytes of append requests of at most 64 entries."""
@@ -426,7 +500,9 @@ def workload_sequential(spark, d):
     return workload.requests(spark, 20_000, 1024, 64, mix=(70, 30, 0))
 
 
-@query()
+@query("""WITH w AS (SELECT k, pow(1.0::DOUBLE + k, -1.2::DOUBLE) AS w FROM range(256) t(k)), c AS (SELECT k, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS upper FROM w),
+  b AS (SELECT k, coalesce(lag(upper) OVER (ORDER BY k), 0) AS lower, upper FROM c), u AS (SELECT CAST('0x' || substr(md5('5:' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM range(100000) t(i))
+  SELECT 'bench:key:' || k AS key, count(*) AS n FROM u JOIN b ON u >= lower AND u < upper GROUP BY k""")
 def workload_zipfian(spark, d):
     """How often each key is asked for."""
     rows = workload.requests(spark, 100_000, 256, 64, "zipfian", (70, 30, 0), seed=5)
@@ -441,6 +517,12 @@ def fault_timeline(spark, d):
     return faults.delivered(messages, spark.createDataFrame(rules, faults.RULES))
 
 
+HISTORY = SQL + """, y AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN {'op': op, 'value': value} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM o),
+  h AS (SELECT key, op, value, idx, coalesce(seen.op = 'set', false) AND idx % 97 <> 0 AS out_found, CASE WHEN coalesce(seen.op = 'set', false) AND idx % 97 <> 0 THEN seen.value END AS out_value FROM y WHERE err = ''),
+  w AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN {'op': op, 'value': value} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM h),
+  v AS (SELECT key, count(*) AS n, count(*) FILTER (op = 'get' AND (out_found <> coalesce(last.op = 'set', false) OR (coalesce(last.op = 'set', false) AND out_value IS DISTINCT FROM last.value))) AS wrong_reads FROM w GROUP BY key)"""
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     """The operations as a history: one after another, each seeing the state before it; every 97th read is stale."""
     seen = F.last(F.when(F.col("op") != "get", F.struct("op", "value")), True).over(Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
@@ -449,12 +531,12 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.lit(1).alias("client_id"), F.col("op").alias("type"), "key", "value", (F.col("idx") * 10).alias("call_ns"), (F.col("idx") * 10 + 5).alias("return_ns"), F.when(found & ~F.col("_stale"), F.col("_s.value")).alias("out_value"), (found & ~F.col("_stale")).alias("out_found"), "err", "idx")
 
 
-@query()
+@query(f"WITH {HISTORY} SELECT key, n, CAST(0 AS BIGINT) AS overlapping, wrong_reads FROM v")
 def lin_sequential_check(spark, d):
     return linearize.sequential(history(spark, d))
 
 
-@query()
+@query(f"WITH {HISTORY} SELECT key, CASE WHEN wrong_reads > 0 THEN 'illegal' ELSE 'ok' END AS verdict, n FROM v")
 def lin_check(spark, d):
     """Verdict for each key's whole history."""
     return linearize.check(history(spark, d))
@@ -475,7 +557,12 @@ def prom_counters(spark, d):
     return rows.select(report.metric_line("kv_operations_total", {"node": F.col("node"), "operation": F.col("op"), "status": F.col("status")}, F.col("n")).alias("line"))
 
 
-@query()
+def _line(suffix: str, value: str, le: bool = False) -> str:
+    head, first = ('le="%s",', "le, ") if le else ("", "")
+    return f"""printf('kv_operation_duration_ms{suffix}{{{head}node="%s",operation="%s",status="%s"}} %.6f', {first}node, op, status, {value}) AS line"""
+
+
+@query(f"WITH b AS ({ORACLES['obs_histogram']}), w AS (SELECT DISTINCT node, op, status, n, sum_ns FROM b) SELECT {_line('_bucket', 'count::DOUBLE', le=True)} FROM b UNION ALL SELECT {_line('_sum', 'sum_ns / 1000000.0::DOUBLE')} FROM w UNION ALL SELECT {_line('_count', 'n::DOUBLE')} FROM w")
 def prom_histogram(spark, d):
     return report.histogram_lines(obs_histogram(spark, d).withColumnRenamed("op", "operation"), "kv_operation_duration_ms", ["node", "operation", "status"])
 

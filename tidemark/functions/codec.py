@@ -82,6 +82,28 @@ def decode_command(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["type", "key", "value", "client_id", "request_id", "error"]).astype({"type": "Int32", "request_id": "Int64"})
 
 
+LEGACY = "struct<version:int,command:struct<Type:int,Key:string,Value:string,ClientID:string,RequestID:bigint>>"
+
+
+def legacy_command(op: Column, key: Column, value: Column, client: Column, request: Column) -> Column:
+    """The older JSON form of a command, as bytes."""
+    kind = F.when(op == "set", TYPES["set"]).when(op == "delete", TYPES["delete"]).otherwise(0)
+    data = F.base64(F.coalesce(value, F.lit("")).cast("binary"))
+    command = F.struct(kind.alias("Type"), key.alias("Key"), data.alias("Value"), client.alias("ClientID"), request.cast("long").alias("RequestID"))
+    return F.to_json(F.struct(F.lit(VERSION).alias("version"), command.alias("command"))).cast("binary")
+
+
+def decode_any(payload: Column) -> Column:
+    """A command in either form, told apart by the magic bytes; error says why there is none."""
+    old = F.from_json(payload.cast("string"), LEGACY)
+    version, c = old["version"], old["command"]
+    problem = F.when(version.isNull(), "invalid JSON").when(version != VERSION, F.concat(F.lit("unsupported command version: "), version)).otherwise("")
+    fine = lambda x: F.when(version == VERSION, x)
+    fields = (fine(c["Type"]), fine(c["Key"]).cast("binary"), fine(F.unbase64(c["Value"])), fine(c["ClientID"]), fine(c["RequestID"]), problem)
+    plain = F.struct(*[x.alias(f.name) for x, f in zip(fields, DECODED.fields, strict=True)])
+    return F.when(F.substring(payload, 1, len(MAGIC)) == F.lit(MAGIC), decode_command(payload)).otherwise(plain)
+
+
 @F.pandas_udf(BinaryType())
 def encode_command(kind: pd.Series, key: pd.Series, value: pd.Series, client: pd.Series, request: pd.Series) -> pd.Series:
     rows = zip(kind, key, value, client, request, strict=True)

@@ -34,9 +34,13 @@ def with_found(commands: DataFrame) -> DataFrame:
     return judged.unionByName(odd)
 
 
+def error_of() -> Column:
+    return F.when(~F.col("op").isin("set", "delete"), F.concat(F.lit("unknown command type: "), F.col("op"))).otherwise("")
+
+
 def results(commands: DataFrame) -> DataFrame:
     """idx, found, applied, error of every command; a repeat gets the first's stored result."""
-    done = with_found(applied(commands)).select(F.col("idx").alias("first_idx"), "found", F.when(~F.col("op").isin("set", "delete"), F.concat(F.lit("unknown command type: "), F.col("op"))).otherwise("").alias("error"))
+    done = with_found(applied(commands)).select(F.col("idx").alias("first_idx"), "found", error_of().alias("error"))
     return first_of_request(commands).join(done, "first_idx").select("idx", "found", (F.col("idx") == F.col("first_idx")).alias("applied"), "error")
 
 
@@ -63,6 +67,34 @@ def state(commands: DataFrame) -> DataFrame:
     return last.where("s.op = 'set'").select("key", "s.value")
 
 
+# The namespaces of a store's rows in its engine.
+DATA, SESSION = 1, 2
+
+
+def store_rows(commands: DataFrame) -> DataFrame:
+    """namespace, id, value: what a store that keeps itself in an engine has there after all commands.
+
+    Data rows are the live keys. A session row holds its client's last request and all results as JSON, by request in
+    the order of their texts.
+    """
+    data = state(commands).select(F.lit(DATA).alias("namespace"), F.col("key").alias("id"), "value")
+    done = with_found(applied(commands)).where(in_session())
+    error = F.substring_index(F.to_json(F.struct(error_of().alias("Error"))), "{", -1)
+    each = F.concat(F.lit('"'), F.col("request_id"), F.lit('":{"Value":null,"Found":'), F.col("found").cast("string"), F.lit(","), error)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col("request_id").cast("string").alias("r"), each.alias("j")))), lambda x: x["j"])
+    value = F.concat(F.lit('{"LastRequestID":'), F.max("request_id"), F.lit(',"Results":{'), F.concat_ws(",", listed), F.lit("}}"))
+    own = done.groupBy("client_id").agg(value.alias("value"))
+    return data.unionByName(own.select(F.lit(SESSION).alias("namespace"), F.col("client_id").alias("id"), "value"))
+
+
+def loaded_sessions(rows: DataFrame) -> DataFrame:
+    """client_id, last_request_id, request_id, found, error: the results that session rows of store_rows hold."""
+    schema = "struct<LastRequestID:bigint,Results:map<string,struct<Value:string,Found:boolean,Error:string>>>"
+    s = rows.where(F.col("namespace") == SESSION).select(F.col("id").alias("client_id"), F.from_json("value", schema).alias("s"))
+    each = s.select("client_id", F.col("s.LastRequestID").alias("last_request_id"), F.explode("s.Results").alias("r", "x"))
+    return each.select("client_id", "last_request_id", F.col("r").cast("long").alias("request_id"), F.col("x.Found").alias("found"), F.col("x.Error").alias("error"))
+
+
 # ---- the JSON document of a snapshot
 
 ENTRY = "struct<key:string,value:string>"
@@ -78,7 +110,7 @@ def snapshot_lines(commands: DataFrame) -> DataFrame:
     value = F.base64(F.coalesce("value", F.lit("")).cast("binary"))
     entries = state(commands).select(F.lit("entry").alias("part"), F.col("key").alias("id"), F.to_json(F.struct("key", value.alias("value"))).alias("json"))
     done = with_found(applied(commands)).where(in_session())
-    result = F.struct(F.lit(None).cast("string").alias("Value"), F.col("found").alias("Found"), F.lit("").alias("Error"))
+    result = F.struct(F.lit(None).cast("string").alias("Value"), F.col("found").alias("Found"), error_of().alias("Error"))
     listed = F.sort_array(F.collect_list(F.struct("request_id", result.alias("result"))))
     each = done.groupBy("client_id").agg(F.max("request_id").alias("last_request_id"), listed.alias("results"))
     return entries.unionByName(each.select(F.lit("session").alias("part"), F.col("client_id").alias("id"), F.to_json(F.struct("client_id", "last_request_id", "results")).alias("json")))

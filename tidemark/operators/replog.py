@@ -23,6 +23,56 @@ def without_prefix(log: DataFrame, upto: int) -> DataFrame:
     return log.where(F.col("index") >= upto).withColumn("data", F.when(F.col("index") > upto, F.col("data")))
 
 
+#: What a log refuses, by name.
+COMPACTED, CONFLICT, NOT_FOUND, INVALID = "compacted", "conflict", "not found", "invalid"
+
+
+def bounds(log: DataFrame) -> DataFrame:
+    """_offset and _last, the first and last index of a log: one row."""
+    return log.agg(F.min("index").alias("_offset"), F.max("index").alias("_last"))
+
+
+def append_errors(log: DataFrame, attempts: DataFrame) -> DataFrame:
+    """attempt, error of appends that begin at `first`: before the log it is compacted, beyond its end a gap."""
+    rows = attempts.crossJoin(F.broadcast(bounds(log)))  # one row
+    error = F.when(F.col("first") < F.col("_offset"), COMPACTED).when(F.col("first") > F.col("_last") + 1, CONFLICT).otherwise("")
+    return rows.select("attempt", error.alias("error"))
+
+
+def saved_snapshots(log: DataFrame, attempts: DataFrame) -> DataFrame:
+    """attempt, error, offset, kept of snapshots (attempt, index, term) of one's own log, each tried on the log as it is.
+
+    A snapshot must lie in the log and have the term of its entry there; the log then begins at its index.
+    """
+    at = log.select("index", F.col("term").alias("_term"))
+    rows = attempts.join(at, "index", "left").crossJoin(F.broadcast(bounds(log)))  # one row
+    i = F.col("index")
+    error = F.when(i == 0, INVALID).when(i < F.col("_offset"), COMPACTED).when(i > F.col("_last"), NOT_FOUND).when(F.col("_term") != F.col("term"), CONFLICT).otherwise("")
+    offset = F.when(error == "", i).otherwise(F.col("_offset"))
+    return rows.select("attempt", error.alias("error"), offset.alias("offset"), (F.col("_last") - offset + 1).alias("kept"))
+
+
+def applied_snapshots(log: DataFrame, attempts: DataFrame, held: tuple[int, int, str]) -> DataFrame:
+    """attempt, outcome, offset, kept of a leader's snapshots (attempt, index, term, data), each tried on the log as it is.
+
+    held: index, term and data of the snapshot in store (index 0: none). An older one is compacted, the same one changes
+    nothing, another one of its index is a conflict; a newer one replaces the whole log.
+    """
+    i, same = F.col("index"), (F.col("term") == held[1]) & F.col("data").eqNullSafe(F.lit(held[2]))
+    rows = attempts.crossJoin(F.broadcast(bounds(log)))  # one row
+    outcome = F.when(i == 0, INVALID).when(i < held[0], COMPACTED).when((i == held[0]) & same, "unchanged").when(i == held[0], CONFLICT).otherwise("replaced")
+    new = outcome == "replaced"
+    kept = F.when(new, F.lit(1)).otherwise(F.col("_last") - F.col("_offset") + 1)
+    return rows.select("attempt", outcome.alias("outcome"), F.when(new, i).otherwise(F.col("_offset")).alias("offset"), kept.cast("long").alias("kept"))
+
+
+def proposal_errors(proposals: DataFrame, log: DataFrame) -> DataFrame:
+    """index, error: a proposal whose index was applied with other data has been replaced by another leader's entry."""
+    got = log.select("index", F.col("data").alias("_applied"))
+    mismatch = ~F.col("data").eqNullSafe(F.col("_applied"))
+    return proposals.join(got, "index").select("index", F.when(mismatch, "proposal mismatch").otherwise("").alias("error"))
+
+
 def entries_between(log: DataFrame, start: int, end: int) -> DataFrame:
     return log.where((F.col("index") >= start) & (F.col("index") < end))
 
