@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ from .graph import components
 SHINGLE, SHARE = 5, (80, 100)
 BITS = 1024
 #: Documents of a tile's two sides.
-TILE = (512, 4096)
+TILE = (512, 2048)
 #: Hashes of one side of a tile in which links are counted.
 LINK_TILE = 500_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -187,17 +188,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     of = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"_{name}"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["_a"], batch["_b"], strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # read in place, as sets can be large
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_a", "_b").mapInPandas(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
 def closest(rated: DataFrame) -> DataFrame:
@@ -350,7 +351,7 @@ def link_counts(comp: DataFrame, sets: DataFrame, weights: DataFrame, buckets: i
     return dealt.groupBy("bucket").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def linked(docs: DataFrame, block_bytes: int = 6_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE, mark: bool = False) -> DataFrame:
+def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE, mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     count: also n_links, the number of other documents (doc_ids) that a document is linked with; null without a doc_id.
