@@ -9,7 +9,7 @@ Exact, in these steps; sets are sorted arrays of 64-bit shingle hashes.
    nothing, so a document with that many of them is done: only the others send the non-unique rest of their prefix.
 3. Documents that share such a shingle are candidates. A component needs no more than a spanning set of its links,
    so at first each document meets one pivot of its shingles' groups: the one whose parity bitmap (1024 bits, each
-   shingle flips one) differs least. Each group draws a pivot; there are two such rounds. Bits that differ bound the overlap from above:
+   shingle flips one) differs least. Each group draws a pivot. Bits that differ bound the overlap from above:
    |A n B| <= (|A| + |B| - differing bits) / 2. Pairs within the bound are verified by sorted-array intersection.
 4. What is left is exact for the rest: in each group, the documents outside the group's largest component are
    tiled, sorted by size, against all documents of the group, in tiles of bounded size. A size that many documents
@@ -351,7 +351,7 @@ def link_counts(comp: DataFrame, sets: DataFrame, weights: DataFrame, buckets: i
     return dealt.groupBy("bucket").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 2, count: bool = False, link_tile: int = LINK_TILE, mark: bool = False) -> DataFrame:
+def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 1, count: bool = False, link_tile: int = LINK_TILE, mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     count: also n_links, the number of other documents (doc_ids) that a document is linked with; null without a doc_id.
