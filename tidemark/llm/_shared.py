@@ -77,10 +77,11 @@ def scratch_mark() -> int:
     return len(_written)
 
 
-def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
-    """Deletes all tables written after scratch_mark() gave mark, but for one."""
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes all tables written after scratch_mark() gave mark, but for those named."""
+    kept = {table.scratch_path for table in keep}
     for path in _written[mark:]:
-        if keep is None or path != keep.scratch_path:
+        if path not in kept:
             _delete(spark, path)
             _written.remove(path)
 

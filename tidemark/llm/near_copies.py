@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bucket_count, by_bucket, discard, packed_texts, unpacked, written
+from ._shared import bucket_count, by_bucket, discard, discard_since, packed_texts, scratch_mark, unpacked, written
 from .graph import components
 
 SHINGLE, SHARE = 5, (80, 100)
@@ -358,7 +358,7 @@ def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 1, count:
     mark: also text_md5, and is_first for the one document (doc_id and text) of each component that can stand for it:
     the smallest doc_id; of its texts in the component the one with the smallest md5. Texts without words are all first.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, scratch_mark()
     keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")))
     blocks = written(packed_texts(docs, block_bytes, keys=True))
     n = blocks.count()
@@ -379,16 +379,21 @@ def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 1, count:
         found = written(verified(pairs, open_))
         links = links.unionByName(found)
         comp = components(links)
+        discard(spark)  # verification shuffles the sets, anew in each step
     # a text's rows, and the smallest doc_id of all rows of its component
     texts = nodes.select("key", F.col("node").alias("id")).join(sets.select("id", "n"), "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rows = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("_rows")).groupBy("key").agg(F.min("doc_id").alias("_least"), F.count("doc_id").alias("_ids"))
     texts = written(texts.join(rows, "key"))
+    still_read = [keyed, texts]
     least = texts.groupBy("comp").agg(F.min("_least").alias("_comp"), F.min_by("key", F.struct(F.col("_least").isNull(), "_least", "key")).alias("_first"))
     named, extra = texts.join(least, "comp"), []
     if count:
         others = written(link_counts(comp, open_, texts.select("id", F.col("_ids").alias("w")), max(256, buckets), link_tile))
+        still_read.append(others)
         named = named.join(others, "id", "left").withColumn("_links", F.coalesce("links", F.lit(0)) + F.col("_ids") - 1)
         extra = ["_links"]
+    discard_since(spark, before, *still_read)  # sets, postings and labels go before the result is read
+    discard(spark)
     named = named.select("key", F.col("n").alias("_n"), "_comp", "_first", *extra)
     # a text without words links with nothing, not even its copies
     out = keyed.join(named, "key", "left").withColumn("n_shingles", F.coalesce("_n", F.lit(0)).cast("long"))
