@@ -58,11 +58,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Lets executors give unused heap back: what one step has made them take would add to the next one's Python workers."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')")
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more, and lets Spark drop the shuffle files of written ones.
 
     Spark drops a shuffle's files once the driver's JVM has collected its plan; that is asked for here, twice, as the
-    events of the last query hold on to its plan until the listeners have seen them.
+    events of the last query hold on to its plan until the listeners have seen them. Executors shrink as well.
     """
     for table in tables:
         _delete(spark, table.scratch_path)
@@ -71,6 +78,34 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     for pause in (0.3, 0):
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
+    shrink_executors(spark)
+
+
+#: What a Python worker keeps from task to task, by the name of the module that made it.
+worker_stores: dict[str, dict] = {}
+_trimmed = 0.0
+
+
+def lean_worker() -> None:
+    """Frees what other operators keep in this Python worker, which Spark reuses, and what its allocators hold unused.
+
+    For functions that run in workers and keep nothing themselves. Once a second is enough.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    global _trimmed
+    if time.monotonic() - _trimmed < 1 and not any(worker_stores.values()):
+        return
+    for store in worker_stores.values():
+        store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+    _trimmed = time.monotonic()
 
 
 def scratch_mark() -> int:
@@ -128,6 +163,7 @@ def packed_texts(docs: DataFrame, block_bytes: int, carry: str | None = None, ke
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
 
     def run(batches):
+        lean_worker()
         part, made, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         ids, texts, extra, size = [], [], [], 0
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bucket_count, by_bucket, discard, discard_since, packed_texts, scratch_mark, unpacked, written
+from ._shared import bucket_count, by_bucket, discard, discard_since, lean_worker, packed_texts, scratch_mark, shrink_executors, unpacked, written
 from .graph import components
 
 SHINGLE, SHARE = 5, (80, 100)
@@ -119,6 +119,7 @@ def counted(blocks: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """Rows (block, bucket, answer): in how many documents (255 at most) each distinct shingle of a block occurs."""
 
     def ask(key, own: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         names = ["block", "bucket", "shingle", "n"]
         if own.empty or chosen.empty:
             return pd.DataFrame(columns=names)
@@ -132,6 +133,7 @@ def counted(blocks: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     def answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         sizes = [len(x) for x in rows["n"]]
         h, n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["shingle"]]), np.concatenate([np.frombuffer(x, "u1") for x in rows["n"]])
         _, inverse = np.unique(h, return_inverse=True)
@@ -146,6 +148,7 @@ def survivors(blocks: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFra
     """Rows (id, n, prefix, hashes, bits): every distinct text's set size; the rest for those that may have a link."""
 
     def run(key, own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         names = ["id", "n", "prefix", "hashes", "bits"]
         if own.empty or rest.empty:
             return pd.DataFrame(columns=names)
@@ -189,6 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):  # read in place, as sets can be large
@@ -219,6 +223,7 @@ def star_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, seed: int)
     near = met.join(light, "id").join(light.withColumnsRenamed({"id": "pivot", "n": "m", "bits": "with"}), "pivot")
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch[k]), "u8").reshape(len(batch), -1) for k in ("bits", "with"))
@@ -264,6 +269,7 @@ def tile_pairs(postings: DataFrame, comp: DataFrame, sets: DataFrame, buckets: i
     dealt = side(rows.where("comp <> main"), minor_sizes, "x").unionByName(side(rows, all_sizes, "y")).withColumn("bucket", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(buckets)).cast("int"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         out = []
         words = np.frombuffer(b"".join(rows["bits"]), "u8").reshape(len(rows), -1)
         ids, n, comp, left = (rows[k].to_numpy() for k in ("id", "n", "comp", "left"))
@@ -341,6 +347,7 @@ def link_counts(comp: DataFrame, sets: DataFrame, weights: DataFrame, buckets: i
     dealt = placed.select("id", "n", "w", "hashes", "bits", "comp", "x", "y", "left", F.pmod(F.xxhash64("comp", "x", "y"), F.lit(buckets)).cast("int").alias("bucket"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         out, left = [pd.DataFrame({"id": [], "links": []}, dtype="int64")], rows["left"].to_numpy()
         for (_, x, y), places in rows.groupby(["comp", "x", "y"], sort=False).indices.items():
             a, b = places[left[places]], places[~left[places]]
@@ -359,6 +366,7 @@ def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 1, count:
     the smallest doc_id; of its texts in the component the one with the smallest md5. Texts without words are all first.
     """
     spark, before = docs.sparkSession, scratch_mark()
+    shrink_executors(spark)
     keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")))
     blocks = written(packed_texts(docs, block_bytes, keys=True))
     n = blocks.count()
@@ -372,8 +380,9 @@ def linked(docs: DataFrame, block_bytes: int = 4_000_000, stars: int = 1, count:
     postings = open_.select("id", F.explode("prefix").alias("shingle"))
     often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
     postings = written(postings.join(often, "shingle"))
-    links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "id long, comp long")
+    # no rows yet; made by the JVM, as rows from Python would need workers beside those of the functions here
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    comp = spark.range(0).select("id", F.col("id").alias("comp"))
     for step in range(stars + 2):
         pairs = star_pairs(postings, comp, open_, step) if step < stars else tile_pairs(postings, comp, open_, max(256, buckets), nearest=step == stars)
         found = written(verified(pairs, open_))

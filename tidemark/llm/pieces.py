@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import worker_stores
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries kept for units and for pairs in a worker; a full store is emptied. Longer units are not kept.
@@ -222,7 +224,7 @@ class PieceEncoder:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = worker_stores.setdefault("pieces", {})
 
 
 def encoder(model: bytes) -> PieceEncoder:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucket_count, by_bucket, discard, packed_texts, unpacked, written
+from ._shared import bucket_count, by_bucket, discard, lean_worker, packed_texts, shrink_executors, unpacked, written
 
 LENGTH, ANCHOR = 50, 20
 WINDOW = LENGTH - ANCHOR + 1
@@ -287,6 +287,7 @@ def smallest_holder(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np
 
 def first_answers(blocks: DataFrame, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         for batch in batches:
             for row in batch.itertuples():
                 _, _, _, r, some, _, least = block_runs(row)
@@ -296,6 +297,7 @@ def first_answers(blocks: DataFrame, buckets: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["block", "bucket", "anchor", "span", "doc"])
 
     def answer(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         sizes = [len(x) // 8 for x in rows["span"]]
         a, s = np.concatenate([opened(x, True) for x in rows["anchor"]]), np.concatenate([np.frombuffer(x, "<u8") for x in rows["span"]])
         d = np.concatenate([opened(x) for x in rows["doc"]]).view("<i8")
@@ -353,6 +355,7 @@ def second_answers(blocks: DataFrame, first: DataFrame, buckets: int) -> DataFra
     names = ["bucket", "block", "anchor", "span", "doc", "shape", "bytes"]
 
     def send(key, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         if own.empty or answers.empty:
             return pd.DataFrame(columns=names)
         _, _, raw, r, some, _, least = block_runs(next(own.itertuples()))
@@ -371,6 +374,7 @@ def second_answers(blocks: DataFrame, first: DataFrame, buckets: int) -> DataFra
         return pd.DataFrame(rows, columns=names)
 
     def sort(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         counts = [len(x) // 8 for x in rows["span"]]
         anchor, span = np.concatenate([opened(x, True) for x in rows["anchor"]]), np.concatenate([np.frombuffer(x, "<u8") for x in rows["span"]])
         doc = np.concatenate([opened(x) for x in rows["doc"]]).view("<i8")
@@ -412,6 +416,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = 6_000_000, carry: str |
     """
     import json
 
+    shrink_executors(docs.sparkSession)
     blocks = written(packed_texts(docs, block_bytes, carry))
     n = blocks.count()
     buckets = bucket_count(n)
@@ -423,6 +428,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = 6_000_000, carry: str |
     names = [x.split()[0] for x in schema.split(", ")]
 
     def finish(key, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         if own.empty:
             return pd.DataFrame(columns=names)
         row = next(own.itertuples())
