@@ -105,6 +105,57 @@ def test_equal_span_hashes_of_other_bytes():
     assert got.tolist() == want
 
 
+def spans_of_anchors(seed, anchors=3, n=60):
+    """Spans of a few anchors with few letters around them: arguments of held_strings, and what it should say."""
+    rng = np.random.default_rng(seed)
+    spans, rows = [], []
+    for a in range(anchors):
+        inner = rng.integers(97, 123, 20).astype("u1").tobytes()
+        common = b"ab" * 20
+        for _ in range(n):
+            place, windows = int(rng.integers(0, 31)), int(rng.integers(1, 32))
+            windows = min(windows, place + 1)
+            size = windows + 49
+            text = bytearray((common[:30] + inner + common)[30 - place :][:size])
+            for i in rng.integers(0, size, rng.integers(0, 3)):
+                if not place <= i < place + 20:
+                    text[i] = 99
+            spans.append(bytes(text))
+            rows.append((a, zlib.crc32(bytes(text)) * 32 + place, int(rng.integers(0, 40)), place, size))
+    anchor, span, doc, place, size = (np.array(x) for x in zip(*rows))
+    anchor, span = anchor.astype("u8"), span.astype("u8")
+    least = {}
+    for a, s, d in zip(anchor, span, doc):
+        least[a, s] = min(d, least.get((a, s), d))
+    code = np.array([1 if least[a, s] < d else 2 for a, s, d in zip(anchor, span, doc)])
+    strings = [[(a, p - i, t[i : i + 50]) for i in range(len(t) - 49)] for a, p, t in zip(anchor, place, spans)]
+    holder = {}
+    for d, own in zip(doc, strings):
+        for x in own:
+            holder[x] = min(d, holder.get(x, d))
+    want = [int(holder[x] < d) for d, own in zip(doc, strings) for x in own]
+    return (anchor, span, doc, place, size, code, np.frombuffer(b"".join(spans), "u1")), want
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_spans_are_sorted_not_each_string(monkeypatch, collide):
+    """Two sorted suffixes for each span, however many strings it has; right results also where hashes mislead."""
+    args, want = spans_of_anchors(5)
+    sorted_, plain = [], sub.suffix_order
+    monkeypatch.setattr(sub, "suffix_order", lambda data, at, group: sorted_.append(len(at)) or plain(data, at, group))
+    if collide:  # every second place has the hash sums of the one before
+        first = sub.Polynomial.__init__
+
+        def init(self, data, base):
+            first(self, data, base)
+            self.sums = np.repeat(self.sums[::2], 2)[: len(self.sums)]
+
+        monkeypatch.setattr(sub.Polynomial, "__init__", init)
+    assert sub.held_strings(*args).tolist() == want and 0 < sum(want) < len(want)
+    if not collide:
+        assert sum(sorted_) <= 2 * len(args[0])
+
+
 # ---- near copies
 
 

@@ -9,11 +9,13 @@ anchor. The starts with one anchor form a run, and the run's bytes (at most 80)
    span, 2 where this is the first document of its span but the anchor has other spans too, 3 where it is the first
    and only others' copies of this very span exist, and 0 for spans that are alone.
 2. Blocks send the bytes of all spans but those answered 0, once each. Spans answered 1 are compared with the bytes of
-   the first holder's span. The strings of the spans answered 2 are suffixes of their spans, sorted within the groups
-   of an anchor by a mergesort. A comparison takes logarithmic time: prefix polynomial hashes and binary search find
-   the common extension, and the next byte decides. Neighbours with 50 bytes in common are equal; their bytes are
-   compared once more, and a group in which hashes had collided is sorted by its bytes. So do all spans of an anchor
-   of which one span's hash had collided. The answer says which strings of a span a smaller document holds.
+   the first holder's span. The spans answered 2 are sorted within the groups of an anchor by a mergesort: once by the
+   suffix that starts with the anchor, once by what is before it, read backwards. A comparison takes logarithmic time:
+   prefix polynomial hashes and binary search find the common extension, and the next byte decides. Neighbours' bytes
+   are compared once more; they give the exact common lengths, and with these the equal strings at each distance from
+   the anchor. In a group that collided hashes had put in a wrong order every string is sorted, and if need be by its
+   bytes. Where one span's hash had collided, all spans of its anchor are sorted, too. The answer says which strings of
+   a span a smaller document holds.
 3. Blocks mark the bytes to remove.
 
 Every removal thus rests on bytes that were compared: hashes only say what to compare.
@@ -245,6 +247,29 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndar
     return held
 
 
+def ordered(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """suffix_order, how many bytes each string shares with the one before it (0 at a group's start), and misled groups.
+
+    The bytes of neighbours are compared: where they are in order, so is the group; elsewhere hashes had collided.
+    """
+    order, reach = suffix_order(data, at, group), np.arange(LENGTH)
+    # comparisons that contradict each other may lose strings
+    lost = group[np.bincount(order, minlength=len(order)) != 1]
+    again = np.nonzero(np.isin(group, lost))[0] if len(lost) else lost
+    order[again] = again
+    shared, wrong = np.zeros(len(order), "i8"), [lost]
+    places = np.nonzero(group[order[1:]] == group[order[:-1]])[0] + 1
+    for i in range(0, len(places), 100_000):
+        some = places[i : i + 100_000]
+        x, y = data[at[order[some - 1], None] + reach], data[at[order[some], None] + reach]
+        differ = x != y
+        n = np.where(differ.any(1), differ.argmax(1), LENGTH)
+        near, row = np.minimum(n, LENGTH - 1), np.arange(len(some))
+        shared[some] = n
+        wrong.append(group[order[some[x[row, near] > y[row, near]]]])
+    return order, shared, np.unique(np.concatenate(wrong))
+
+
 def smallest_holder(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each string (ordered by group) the smallest document with an equal string in its group."""
     _, number, count = np.unique(group, return_inverse=True, return_counts=True)
@@ -256,32 +281,49 @@ def smallest_holder(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np
         return out
     if not len(at):
         return doc
-    order, poly = suffix_order(data, at, group), Polynomial(data, BASE)
-    x, y = at[order[:-1]], at[order[1:]]
-    together = group[order[:-1]] == group[order[1:]]
-    equal = together.copy()
-    equal[together] = common(poly, x[together], y[together]) == LENGTH
-    reach = np.arange(LENGTH)
-    places = np.nonzero(equal)[0]
-    collided = []
-    for i in range(0, len(places), 100_000):  # verification of the bytes
-        some = places[i : i + 100_000]
-        wrong = (data[x[some, None] + reach] != data[y[some, None] + reach]).any(1)
-        collided.append(some[wrong])
-    new = np.concatenate([[True], ~equal])
-    number = np.cumsum(new) - 1
-    least = np.minimum.reduceat(doc[order], np.nonzero(new)[0])[number]
+    order, shared, wrong = ordered(data, at, group)
+    new = shared < LENGTH
     out = np.empty(len(at), doc.dtype)
-    out[order] = least
-    for g in np.unique(group[order[np.concatenate(collided)]]) if collided else ():
+    out[order] = np.minimum.reduceat(doc[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
+    for g in wrong:
         own = np.nonzero(group == g)[0]
-        _, inverse = np.unique(data[at[own, None] + reach], axis=0, return_inverse=True)
+        _, inverse = np.unique(data[at[own, None] + np.arange(LENGTH)], axis=0, return_inverse=True)
         best = np.full(inverse.max() + 1, np.iinfo(doc.dtype).max)
         np.minimum.at(best, inverse.ravel(), doc[own])
         out[own] = best[inverse.ravel()]
     return out
 
 
+def smallest_holders(data: np.ndarray, pivot: np.ndarray, group: np.ndarray, doc: np.ndarray, place: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """smallest_holder for all strings of spans (ordered by group) whose anchors are at `pivot`, and spans left open.
+
+    Strings with the anchor at the same place are equal if the bytes from the anchor on are, and those before it. Both
+    are sorted once for each span, the latter backwards, and not once for each string. What two spans share is the least
+    of what neighbours between them share, so that a cut of both orders at each place gives the classes of equal strings.
+    Left open are the spans of groups that collided hashes had put in a wrong order, or with strings outside the anchor.
+    """
+    n, reach = len(pivot), np.arange(LENGTH)
+    around = np.concatenate([np.zeros(LENGTH, "u1"), data, np.zeros(LENGTH, "u1")])
+    sides = np.concatenate([around[pivot[:, None] + LENGTH + reach], around[pivot[:, None] + LENGTH - 1 - reach]])
+    behind = group.max() + 1 if n else 0
+    order, shared, wrong = ordered(sides.ravel(), np.arange(2 * n) * LENGTH, np.concatenate([group, group + behind]))
+    rank = np.empty(2 * n, "i8")
+    rank[order] = np.arange(2 * n)
+    begin, least = np.cumsum(windows) - windows, np.repeat(doc, windows)
+    for where in range(WINDOW):
+        some = np.nonzero((where <= place) & (where > place - windows))[0]
+        if not len(some):
+            continue
+        after, before = np.cumsum(shared[:n] < LENGTH - where), np.cumsum(shared[n:] < where)
+        key = after[rank[:n][some]] * (n + 1) + before[rank[n:][some] - n]
+        sort = np.argsort(key)
+        new = changes(key[sort])
+        held = np.minimum.reduceat(doc[some][sort], np.nonzero(new)[0])[np.cumsum(new) - 1]
+        least[(begin + place - where)[some][sort]] = held
+    outside = group[(place >= WINDOW) | (place < windows - 1)]
+    return least, np.isin(group, np.concatenate([wrong % behind if n else wrong, outside]))
+
+
 # ---- the three steps on Spark
 
 
@@ -338,14 +380,17 @@ def held_strings(anchor: np.ndarray, span: np.ndarray, doc: np.ndarray, place: n
     collided = np.isin(anchor, anchor[copies[~same]])
     todo = np.nonzero(((code == 2) | collided) & ~settled)[0]
     flags = np.repeat(settled.astype("u1"), windows)
+    todo = todo[np.argsort(anchor[todo], kind="stable")]
     of = np.repeat(todo, windows[todo])
     step = np.arange(len(of)) - np.repeat(np.cumsum(windows[todo]) - windows[todo], windows[todo])
-    # equal strings have the same anchor at the same place
-    where = place[of] - step
-    order = np.lexsort((where, anchor[of]))
-    group = np.cumsum(changes(anchor[of][order], where[order])) if len(order) else order
-    least = np.empty(len(of), "i8")
-    least[order] = smallest_holder(data, (begin[of] + step)[order], group, doc[of][order])
+    least, left = smallest_holders(data, begin[todo] + place[todo], np.cumsum(changes(anchor[todo])), doc[todo], place[todo], windows[todo])
+    if left.any():  # string by string
+        rest = np.nonzero(np.repeat(left, windows[todo]))[0]
+        # equal strings have the same anchor at the same place
+        where = place[of[rest]] - step[rest]
+        rest = rest[np.lexsort((where, anchor[of[rest]]))]
+        group = np.cumsum(changes(anchor[of[rest]], place[of[rest]] - step[rest]))
+        least[rest] = smallest_holder(data, begin[of[rest]] + step[rest], group, doc[of[rest]])
     flags[(np.cumsum(windows) - windows)[of] + step] = least < doc[of]
     return flags
 
@@ -395,8 +440,8 @@ def marked(row, first: np.ndarray, second: np.ndarray) -> tuple:
     if len(some):
         # a smaller document of the block has a run's span: all of its strings are repeats
         whole = ids[r["doc"]] > least[number]
-        np.add.at(cover, r["first"][whole], 1)
-        np.add.at(cover, r["last"][whole] + LENGTH, -1)
+        cover[r["first"][whole]] += 1  # each start is in one run, so that no place comes twice
+        cover[r["last"][whole] + LENGTH] -= 1
         windows = np.where(first > 0, (r["last"] - r["first"] + 1)[some], 0)
         begin = np.cumsum(windows) - windows
         part = np.nonzero(~whole & (first[number] > 0))[0]
@@ -404,8 +449,8 @@ def marked(row, first: np.ndarray, second: np.ndarray) -> tuple:
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = second[np.repeat(begin[number[part]], n) + step] == 1
         at = (np.repeat(r["first"][part], n) + step)[hit]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + LENGTH, -1)
+        cover[at] += 1
+        cover[at + LENGTH] -= 1
     return ids, starts, data, np.cumsum(cover)[: len(data)] > 0
 
 
